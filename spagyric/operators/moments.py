@@ -19,6 +19,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spagyric.session import settled
+
 #: Names of months, folded to lower case without accents, in en, de, fr and es.
 MONTHS = """
 january januar janvier enero jan ene janv
@@ -54,12 +56,6 @@ def abbreviations(zones: list[str]) -> dict[str, int]:
     return out
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, behind a step through which the optimizer moves no filter: a filter on a long chain of
-    derived columns would be moved to its start and with it repeat the whole chain, several times over."""
-    return df.withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0").drop("_row")
-
-
 def _literal(d: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in (d or {"": 0}).items() for x in kv))
 

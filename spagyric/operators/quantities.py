@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spagyric.session import settled
+
 #: Known spellings of each unit, folded (see ``folded``).
 TEMPERATURES = {
     "K": ["k", "°k", "degk", "degreek", "degreesk", "kelvin", "kelvins", "degreeskelvin"],
@@ -153,7 +155,7 @@ def with_interval(df: DataFrame, value: str = "value", unit: str = "unit") -> Da
     for c in ends:
         df = df.withColumn(c, to_common(F.col(c), F.col(unit)))
     high = F.coalesce("high", "low")
-    return df.withColumns({"low": F.least(F.col("low"), high), "high": F.greatest(F.col("low"), high)})
+    return settled(df.withColumns({"low": F.least(F.col("low"), high), "high": F.greatest(F.col("low"), high)}))
 
 
 def melting_points(mp: DataFrame, sentences: DataFrame | None) -> DataFrame:
