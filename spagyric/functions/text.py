@@ -133,7 +133,7 @@ def like_number(c: Column) -> Column:
 def word_shape(c: Column) -> Column:
     """Each character as its class, runs of a class cut at three."""
     # classes are written as private characters first, so that no later class meets an earlier one's letter
-    steps = [(r"\p{Nd}", "\ue000"), (_class(GREEK), "\ue001"), (r"\p{Lu}", "\ue002"), (r"\p{L}", "\ue003"), (_class(DOUBLE_QUOTES + SINGLE_QUOTES), "\ue004"), ("[:;]", "\ue005"), ("[!?.]", "\ue006"), (r"[(\[{)\]}]", "\ue007"), ("[°%]", "\ue008"), (_class(BULLETS), "\ue009"), (r"[^\ue000-\ue009,$&-]", "*")]
+    steps = [(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "\ue000"), (_class(GREEK), "\ue001"), (r"\p{Lu}", "\ue002"), (r"\p{L}", "\ue003"), (_class(DOUBLE_QUOTES + SINGLE_QUOTES), "\ue004"), ("[:;]", "\ue005"), ("[!?.]", "\ue006"), (r"[(\[{)\]}]", "\ue007"), ("[°%]", "\ue008"), (_class(BULLETS), "\ue009"), (r"[^\ue000-\ue009,$&-]", "*")]
     for pattern, to in steps:
         c = F.regexp_replace(c, pattern, to)
     c = F.translate(c, "".join(chr(0xE000 + i) for i in range(10)), "dgXx':.bul")

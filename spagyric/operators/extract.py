@@ -51,7 +51,7 @@ def quantity_scanner(model: Model) -> re.Pattern:
 
 _LABEL = r"(?:[A-Z]{1,2}\d{1,3}|\d{1,3}[a-z]?|[IVX]{1,5})"
 #: Words before a label, and roles of compounds.
-_LABELLED = re.compile(rf"(?:\b(?:compounds?|complex(?:es)?|ligands?|products?|derivatives?|samples?)\s+(?P<a>{_LABEL}))|\((?P<b>{_LABEL})\)")
+_LABELLED = re.compile(rf"(?:\b(?:compounds?|complex(?:es)?|ligands?|products?|derivatives?|samples?)\s+(?P<a>{_LABEL})(?![\w-]))|\((?P<b>{_LABEL})\)")
 ROLES = ("product", "intermediate", "starting material", "ligand", "precursor", "solvent", "catalyst", "standard", "title compound")
 
 
@@ -91,7 +91,7 @@ def quantities(text: str, model: Model, found: list[dict] | None = None, specifi
     named = [(m.start(), m.end(), m[0]) for m in re.finditer(rf"(?<![\w])(?:{'|'.join(x for x in (spec, extra) if x)})(?![\w])", text)] if spec or extra else []
     if spec and not named:
         return
-    values = [(m.start(), m.end(), m["value"].strip(), (m.groupdict().get("units") or "").strip()) for m in quantity_scanner(model).finditer(text)]
+    values = [(m.start(), m.end(), m["value"].strip(), (m.groupdict().get("units") or "").strip().rstrip(".")) for m in quantity_scanner(model).finditer(text)]
     # a list of values may share the unit of its last
     if model.dimension not in (None, U.DIMENSIONLESS) and values:
         first = values[0][0]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spagyric.plans import data_quality
+from spagyric.plans import data_quality, record_queries, text_queries
 
-MODULES = [data_quality]
+MODULES = [data_quality, text_queries, record_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return data_quality.p2_values(spark, d)
+    return record_queries.melting_range_by_brand(spark, d)
