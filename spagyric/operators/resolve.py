@@ -1,8 +1,8 @@
 """Records of one document merged, completed and cleaned.
 
-The order in which records take fields from each other matters, so documents are resolved one by one, in Arrow
-groups; ``most`` guards the size of a group: larger documents are cut into stretches of elements, each resolved
-on its own. Single steps that don't depend on order (headings carried forward, subsets removed, compounds united)
+The order in which records take fields from each other matters, so documents are resolved one by one, from sorted
+partitions; ``most`` guards what is held at once: larger documents are cut into stretches of elements, each
+resolved on its own. Records without a document are left out. Single steps that don't depend on order (headings carried forward, subsets removed, compounds united)
 are Catalyst plans of their own.
 
 Order: (el_idx, sent_idx, rec_idx). A record takes a missing contextual field from the nearest compatible record
@@ -148,13 +148,30 @@ def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sectio
     kind = records.schema[doc].dataType.simpleString()
     schema = f"`{doc}` {kind}, el_idx int, sent_idx int, rec_idx int, model string, method string, payload string, confidence map<string,double>"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        group = [Record(by[m], json.loads(p), (int(e), int(s), int(r)), method, c, int(sec or 0)) for e, s, r, m, method, p, c, sec in zip(pdf["el_idx"], pdf["sent_idx"], pdf["rec_idx"], pdf["model"], pdf["method"], pdf["payload"], pdf["confidence"], pdf["section"].fillna(0)) if m in by]
-        out = resolve_document(group)
-        return pd.DataFrame([(key[0], *r.at, r.model.name, r.method, json.dumps(r.data, ensure_ascii=False, sort_keys=True), r.confidence) for r in out], columns=[doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence"])
-
     columns = [doc, "_part", "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence", "section"]
-    return rows.select(*columns).groupBy(doc, "_part").applyInPandas(run, schema)
+    names = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence"]
+
+    def done(key, group: list[Record]) -> list[tuple]:
+        return [(key, *r.at, r.model.name, r.method, json.dumps(r.data, ensure_ascii=False, sort_keys=True), r.confidence) for r in resolve_document(group)]
+
+    def run(batches):
+        # partitions are sorted, so a document's records follow each other, also from batch to batch
+        at, group = None, []
+        for b in batches:
+            out = []
+            for key, part, e, s, r, m, method, p, c, sec in b[columns].itertuples(index=False, name=None):
+                if at is not None and at != (key, part):
+                    out += done(at[0], group)
+                    group = []
+                at = (key, part)
+                if m in by:
+                    group.append(Record(by[m], json.loads(p), (int(e), int(s), int(r)), method, c, 0 if pd.isna(sec) else int(sec)))
+            yield pd.DataFrame(out, columns=names)
+        if at is not None:
+            yield pd.DataFrame(done(at[0], group), columns=names)
+
+    placed = rows.select(*columns).where(F.col(doc).isNotNull()).repartition(doc, "_part").sortWithinPartitions(doc, "_part", "el_idx", "sent_idx", "rec_idx")
+    return placed.mapInPandas(run, schema)
 
 
 # --- steps that don't depend on order, as plans -----------------------------------------------------------------------
