@@ -13,6 +13,7 @@ parent; of equal keys the last counts; repeated records stay repeated.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -155,6 +156,7 @@ def shred(df: DataFrame, key: str, payload: str, objects: tuple[str, ...] = OBJE
     tables = ["", *sorted({*objects, *values})]
 
     def run(batches):
+        sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))  # payloads may be nested deeply
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
