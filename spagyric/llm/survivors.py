@@ -122,17 +122,21 @@ def survivors(mp: DataFrame, sentences: DataFrame, trust: DataFrame, together: t
     """
     groups = duplicate_groups(mp, sentences)
     late = F.lit(2**31 - 1)
-    records = mp.dropDuplicates(["rec_id"]).join(F.broadcast(trust.select("method", "trust").dropDuplicates(["method"])), "method", "left")
+    records = mp.select("rec_id", "method", "compound", "solvent", "apparatus", "extracted_at").dropDuplicates(["rec_id"]).join(F.broadcast(trust.select("method", "trust").dropDuplicates(["method"])), "method", "left")
     records = records.select(
         "rec_id",
         F.array_compact(F.array(F.lit("quantity"), *(F.when(f, F.lit(b)) for b, f in (("names", filled_array(F.col("compound.names"))), ("labels", filled_array(F.col("compound.labels"))), ("solvent", filled(F.col("solvent"))), ("apparatus", filled(F.col("apparatus"))))))).alias("fills"),
         F.struct(F.coalesce("trust", late).alias("t"), (-F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(-(2**62)))).alias("e"), F.col("rec_id").alias("r")).alias("key"),
     )
     best = groups.join(records, "rec_id").groupBy("first_rec_id", "fills").agg(F.min("key").alias("key"))
+    few = best.groupBy("first_rec_id").agg(F.collect_list(F.struct("fills", "key")).alias("candidates"))  # at most 2 ** bundles
 
-    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{"key": (k["t"], k["e"], k["r"]), "fills": set(f)} for k, f in zip(pdf["key"], pdf["fills"])]
-        taken = choose(rows, BUNDLES, together)
-        return pd.DataFrame([(key[0], b, rows[i]["key"][2]) for b, i in taken.items()], columns=["first_rec_id", "field", "rec_id"])
+    def pick(batches):
+        for b in batches:
+            out = []
+            for first, candidates in zip(b["first_rec_id"], b["candidates"]):
+                rows = [{"key": (c["key"]["t"], c["key"]["e"], c["key"]["r"]), "fills": set(c["fills"])} for c in candidates]
+                out += [(first, bundle, rows[i]["key"][2]) for bundle, i in choose(rows, BUNDLES, together).items()]
+            yield pd.DataFrame(out, columns=["first_rec_id", "field", "rec_id"])
 
-    return best.groupBy("first_rec_id").applyInPandas(pick, "first_rec_id bigint, field string, rec_id bigint")
+    return few.mapInPandas(pick, "first_rec_id bigint, field string, rec_id bigint")
