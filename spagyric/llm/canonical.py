@@ -168,13 +168,13 @@ class Reference:
 def repairs(values: DataFrame, reference: Reference) -> DataFrame:
     """(token, options) of the distinct tokens in ``value``: vocabulary words within the allowed edits."""
     spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(reference)  # the reference list doesn't grow
+    longest = max(map(len, reference.vocabulary), default=0)
     known = [(w, v) for w in reference.vocabulary for v in _variants(w, allowed(w))]
-    index = spark.createDataFrame(known, "word string, variant string")
+    index = spark.createDataFrame(known or [(None, None)], "word string, variant string")
 
     def spread(batches):
         for (v,) in ((b[c] for c in b.columns) for b in batches):
-            rows = {(t, x) for text in v for t in tokens(text) for x in _variants(t, allowed(t))}
+            rows = {(t, x) for text in v for t in tokens(text) if len(t) <= longest + 2 for x in _variants(t, allowed(t))}
             yield pd.DataFrame(list(rows), columns=["token", "variant"])
 
     def verify(batches):
@@ -184,7 +184,6 @@ def repairs(values: DataFrame, reference: Reference) -> DataFrame:
             close = [1 - x / max(len(t), len(w)) for x, t, w in zip(d, b["token"], b["word"])]
             yield b.assign(close=close)[keep][["token", "word", "close"]]
 
-    assert shared.value
     seen = values.select("value").mapInPandas(spread, "token string, variant string").distinct()
     pairs = seen.join(F.broadcast(index), "variant").select("token", "word").distinct()
     return pairs.mapInPandas(verify, "token string, word string, close double").groupBy("token").agg(F.collect_set(F.struct("word", "close")).alias("options"))

@@ -208,7 +208,7 @@ class Rewriter:
             out += [text[at:start], member if always is None else always]
             at = start + len(member)
         text = unicodedata.normalize("NFC", "".join([*out, text[at:]]))
-        return _WORD.sub(lambda m: self._word(m[0], m.string, m.end()), text)
+        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self._word(m[0], m.string, m.end()), text))
 
     def _word(self, word: str, text: str, end: int) -> str:
         if word.isascii():
