@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spagyric.session import settled
+from spagyric.session import settled, shared_checkpoints
 
 #: Known spellings of each unit, folded (see ``folded``).
 TEMPERATURES = {
@@ -101,6 +101,8 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame, kind: str) -> Da
 
 def with_unit(df: DataFrame, kind: str, candidates: list[str], out: str = "unit") -> DataFrame:
     """Adds the unit that the first of the candidate spelling columns denotes; drops the candidates."""
+    shared_checkpoints(df.sparkSession)
+    df = df.checkpoint()  # read twice, and made by a join and regular expressions
     every = df.select(F.explode(F.array(*candidates)).alias("spelling")).where("spelling is not null").distinct()
     alias = alias_dictionary(df.sparkSession, every, kind).persist()
     small = alias.count() <= BROADCAST_SPELLINGS
