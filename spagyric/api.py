@@ -14,8 +14,8 @@ from spagyric.operators.tokens import section_filter, sentences
 from spagyric.sources.readers import elements
 from spagyric.spec.models import Model
 
-#: Elements whose sentences are parsed.
-TEXTS = ("Title", "Heading", "Paragraph", "Footnote", "Caption")
+#: Elements whose sentences are parsed; the text of a table or figure is its caption.
+TEXTS = ("Title", "Heading", "Paragraph", "Footnote", "Caption", "Table", "Figure")
 
 
 def layers(docs: DataFrame, key: str = "doc_id", content: str = "content", name: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +35,10 @@ def extract(docs: DataFrame, models: list[Model], key: str = "doc_id", content:
     els = elements(docs, key, content, name).where(~F.col("el_type").isin(*(skip_elements or ("",))))
     if allow_section or skip_section:
         els = section_filter(els, allow_section, skip_section)
-    found = X.records(sentences(els.where(F.col("el_type").isin(*TEXTS)), [key, "el_idx"], "text"), [key, "el_idx", "sent_idx"], models)
-    tables = X.table_records(els.where("el_type = 'Table'").select(key, "el_idx", F.lit(0).alias("sent_idx"), "grid"), [key, "el_idx", "sent_idx"], "grid", models)
+    sents = X.with_definitions(sentences(els.where(F.col("el_type").isin(*TEXTS)), [key, "el_idx"], "text"), key, ["el_idx", "sent_idx"], models)
+    found = X.records(sents, [key, "el_idx", "sent_idx"], models, specifiers="specifiers")
+    # a table's cells stand one sentence before its caption, from which they take what they lack
+    tables = X.table_records(els.where("el_type = 'Table'").select(key, "el_idx", F.lit(-1).alias("sent_idx"), "grid"), [key, "el_idx", "sent_idx"], "grid", models)
     every = found.unionByName(tables)
     if not merge:
         return every

@@ -205,6 +205,43 @@ def apparatus(text: str) -> Iterator[tuple[str, dict, float]]:
 _SPECTRA = {"NmrSpectrum": nmr, "UvvisSpectrum": uvvis, "IrSpectrum": ir, "Apparatus": apparatus}
 
 
+# --- definitions, which hold from their element on ---------------------------------------------------------------------
+
+#: Nouns that a defined property ends with.
+_DEFINED = re.compile(r"((?:[A-Za-z][\w-]* ){0,3}(?:temperatures?|points?|ranges?|energy|energies|distances?|lengths?|numbers?))\s*(?:,\s*|\(\s*|\s*=\s*|(?:is |are )?denoted (?:as |by )?)([A-Z][A-Za-z]{0,3}\d?)(?=[\s,.;)]|$)")
+
+
+def definitions(text: str) -> list[tuple[str, str]]:
+    """(phrase, symbol) of properties for which a sentence defines a symbol: 'the Curie temperature, Tc'."""
+    return [(m[1].strip(), m[2]) for m in _DEFINED.finditer(text)]
+
+
+def defined_specifiers(text: str, models: list[Model]) -> dict[str, list[str]]:
+    """{model: symbols} that a sentence defines for the models' properties."""
+    out: dict[str, list[str]] = {}
+    for phrase, symbol in definitions(text):
+        for m in models:
+            spec = m["specifier"].pattern if m.dimension is not None else None
+            if spec and re.search(rf"(?<!\w)(?:{spec})(?!\w)", phrase):
+                out.setdefault(m.name, []).append(symbol)
+    return out
+
+
+def with_definitions(sentences: DataFrame, doc: str, order: list[str], models: list[Model], text: str = "text") -> DataFrame:
+    """Adds ``specifiers``, an ARRAY of 'model=symbol' that the document has defined up to each sentence. Only
+    sentences that define something are looked at in Python; the rest is a window over short texts."""
+    from pyspark.sql import Window
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [f"{m}={y}" for m, ys in defined_specifiers(x, models).items() for y in ys])
+
+    told = F.when(F.col(text).rlike(r"(?:temperature|point|range|energ|distance|length|number)"), F.col(text))
+    w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return sentences.withColumn("_own", run(told)).withColumn("specifiers", F.array_sort(F.array_distinct(F.flatten(F.collect_list("_own").over(w))))).drop("_own")
+
+
 def sentence_records(text: str, models: list[Model], specifiers: dict[str, list[str]] | None = None) -> Iterator[tuple[str, str, dict, float]]:
     """(model, method, record, confidence) of everything in one sentence; equal records come once."""
     found = compounds(text)
@@ -232,16 +269,21 @@ def trigger(models: list[Model], text: Column) -> Column:
     return trigger_column(text, sorted({w for m in models for w in m.triggers}))
 
 
-def records(sentences: DataFrame, keys: list[str], models: list[Model], text: str = "text") -> DataFrame:
-    """The records of all sentences, (keys, rec_idx, model, method, payload, confidence)."""
-    rows = sentences.select(*keys, text).where(F.col(text).isNotNull() & trigger(models, F.col(text)))
+def records(sentences: DataFrame, keys: list[str], models: list[Model], text: str = "text", specifiers: str | None = None) -> DataFrame:
+    """The records of all sentences, (keys, rec_idx, model, method, payload, confidence). specifiers: a column of
+    ``with_definitions``; a sentence with defined symbols passes the trigger."""
+    known = F.col(specifiers) if specifiers else F.array().cast("array<string>")
+    rows = sentences.select(*keys, text, known.alias("_known")).where(F.col(text).isNotNull() & (trigger(models, F.col(text)) | (F.size("_known") > 0)))
     schema = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for b in batches:
             out = []
-            for *key, t in zip(*(b[c] for c in [*keys, text])):
-                for i, (model, method, record, confidence) in enumerate(sentence_records(t, models)):
+            for *key, t, known in zip(*(b[c] for c in [*keys, text, "_known"])):
+                defined: dict[str, list[str]] = {}
+                for pair in known if known is not None else ():
+                    defined.setdefault(pair.partition("=")[0], []).append(pair.partition("=")[2])
+                for i, (model, method, record, confidence) in enumerate(sentence_records(t, models, defined)):
                     out.append((*key, i, model, method, json.dumps(record, ensure_ascii=False), {"record": confidence}))
             yield pd.DataFrame(out, columns=[*keys, "rec_idx", "model", "method", "payload", "confidence"])
 

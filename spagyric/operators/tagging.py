@@ -84,6 +84,18 @@ def dictionary_matches(tokens: DataFrame, phrases: DataFrame, sentence: list[str
     return grams.join(phrases.select("phrase").distinct(), "phrase").select(*sentence, "start_idx", "n", "phrase")
 
 
+def name_dictionary(names: DataFrame, name: str, stop: Iterable[str] = ("solution", "compound", "acid", "water soluble")) -> DataFrame:
+    """(phrase) of a dictionary out of raw names: lower case, without brackets around the whole, sources in brackets
+    behind it and doubtful entries (short, numbers only, stop words), with the variants in which hyphens are
+    blanks. Catalyst only; distinct over the whole list."""
+    c = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    c = F.regexp_replace(c, r"^[(\[](.*)[)\]]$", "$1")
+    c = F.trim(F.regexp_replace(c, r"\s*[(\[][a-z0-9.\s-]*(?:usp|inn|jan|ban|iso|usan|nf)[^)\]]*[)\]]$", ""))
+    rows = names.select(F.explode(F.array_distinct(F.array(c, F.regexp_replace(c, "-", " ")))).alias("phrase"))
+    fine = (F.length("phrase") > 2) & ~F.col("phrase").rlike(r"^[\d\W]+$") & ~F.col("phrase").isin(*stop)
+    return rows.where(F.col("phrase").isNotNull() & fine).distinct()
+
+
 def ensemble(*taggers: Tagger) -> Tagger:
     """For each word the tag of the last tagger that has one."""
 

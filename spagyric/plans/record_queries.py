@@ -14,13 +14,13 @@ from spagyric.operators import evaluate as E
 from spagyric.operators import extract as X
 from spagyric.operators import resolve as R
 from spagyric.operators.relations import Snowball, cosine_column, relations
-from spagyric.operators.tagging import Perceptron, clauses, regex_tagger
+from spagyric.operators.tagging import Perceptron, clauses, name_dictionary, regex_tagger
 from spagyric.operators.tokens import section_filter, sentences
 from spagyric.session import table
 from spagyric.sources import biblio as B
 from spagyric.sources.readers import elements, metadata
 from spagyric.sources.scrape import DOCUMENT, Entity, Field, scrape
-from spagyric.spec.models import COMPOUND, MELTING_POINT, NMR_SPECTRUM, UVVIS_SPECTRUM
+from spagyric.spec.models import COMPOUND, CURIE_TEMPERATURE, MELTING_POINT, NMR_SPECTRUM, UVVIS_SPECTRUM
 from spagyric.streaming.documents import counts_by_window
 
 ORACLE: dict[str, str] = {}
@@ -188,6 +188,22 @@ def compound_mentions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.get_json_object("payload", "$.names[0]").alias("name"), F.get_json_object("payload", "$.labels[0]").alias("label"), F.get_json_object("payload", "$.roles[0]").alias("role"))
 
 
+@query("select p_partkey, 'Tz' as specifier, cast(p_size + 300 as varchar) as raw_value from part")
+def forward_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """A symbol that one sentence defines is understood in the next ones of the document, not before."""
+    s = F.array(text("Tz of it was 7 K."), text("We studied the Curie temperature, Tz, of it."), text("Tz was ", F.col("p_size") + 300, " K."))
+    rows = table(spark, d, "part").select("p_partkey", F.posexplode(s).alias("sent_idx", "text"))
+    rows = X.with_definitions(rows, "p_partkey", ["sent_idx"], [CURIE_TEMPERATURE])
+    out = X.records(rows, ["p_partkey", "sent_idx"], [CURIE_TEMPERATURE], specifiers="specifiers")
+    return out.select("p_partkey", F.get_json_object("payload", "$.specifier").alias("specifier"), F.get_json_object("payload", "$.raw_value").alias("raw_value"))
+
+
+@query("select distinct unnest([lower(p_brand) || '-oxide', replace(lower(p_brand) || '-oxide', '-', ' ')]) as phrase from part")
+def dictionary_of_names(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select(F.explode(F.array(text("(", F.col("p_brand"), "-Oxide)"), text(F.col("p_brand"), "-oxide  [USP]"), F.lit("12"), F.lit("solution"))).alias("name"))
+    return name_dictionary(names, "name")
+
+
 _PEAKS = """
 with clean as (select rec_id, list_filter(peaks, lambda p: p is not null and regexp_matches(p.shift, '^-?[0-9]+\\.[0-9]+$')) as ps from (select distinct on (rec_id) * from nmr_records)),
 found as (select rec_id, ps from clean where len(ps) > 0)
