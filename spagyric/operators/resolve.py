@@ -1,8 +1,8 @@
 """Records of one document merged, completed and cleaned.
 
 The order in which records take fields from each other matters, so documents are resolved one by one, from sorted
-partitions; ``most`` guards what is held at once: larger documents are cut into stretches of elements, each
-resolved on its own. Records without a document are left out. Single steps that don't depend on order (headings carried forward, subsets removed, compounds united)
+partitions, always whole: what is held at once are the records of one document, whose text was one value when it was
+read. Indexes keep the steps from comparing all pairs. Records without a document are left out. Single steps that don't depend on order (headings carried forward, subsets removed, compounds united)
 are Catalyst plans of their own.
 
 Order: (el_idx, sent_idx, rec_idx). A record takes a missing contextual field from the nearest compatible record
@@ -12,6 +12,9 @@ within the field's range, back before forward.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +102,7 @@ def resolve_document(rows: list[Record], definitions: dict[str, list[str]] | Non
                 r.data["names"] = sorted(own | {short, long})
     by_key: dict[str, int] = {}
     parent = list(range(len(names)))
+    held = [{k: set(r.data.get(k, ())) for k in ("names", "labels", "roles")} for r in names]  # of roots
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -107,48 +111,228 @@ def resolve_document(rows: list[Record], definitions: dict[str, list[str]] | Non
         return i
 
     for i, r in enumerate(names):
-        for key in [*("n" + x for x in r.data.get("names", ())), *("l" + x for x in r.data.get("labels", ()))]:
+        for key in _keys(r.data):
             j = root(by_key.setdefault(key, i))
-            if j != root(i) and not clashing(names[j].data, names[root(i)].data):
+            if j != root(i) and not clashing(held[j], held[root(i)]):
                 a, b = sorted((j, root(i)))
-                names[a].data = united(names[a].data, names[b].data)
+                for k, x in held[a].items():  # the smaller set into the larger
+                    small, large = sorted((x, held[b][k]), key=len)
+                    large |= small
+                    held[a][k] = large
                 parent[b] = a
+    for a in {root(i) for i in range(len(names)) if root(i) != i}:
+        names[a].data = {k: sorted(x) for k, x in held[a].items() if x}
     kept = {id(names[i]) for i in range(len(names)) if root(i) == i}
     rows = [r for r in rows if r.model.name != "Compound" or id(r) in kept]
-    for r in rows:
-        if r.model.contextual_fulfilled(r.data):
-            continue
-        others = sorted((o for o in rows if o is not r), key=lambda o: (distance(r, o).counts(), o.at > r.at, [-x for x in o.at] if o.at < r.at else list(o.at)))
-        for o in others:
-            merge_contextual(r, o, distance(r, o))
-            if r.model.contextual_fulfilled(r.data):
-                break
+    contexts = _Contexts(rows)
+    for i, r in enumerate(rows):
+        if not r.model.contextual_fulfilled(r.data):
+            contexts.fill(i)
     out: list[Record] = []
+    twins = _Twins()
     for r in rows:
         if r.model.is_empty(r.data) or not r.model.required_fulfilled(r.data):
             continue
-        twin = next((i for i, o in enumerate(out) if o.model is r.model and (o.model.is_superset(o.data, r.data) or o.model.is_superset(r.data, o.data))), None)
+        twin = next((i for i in twins.near(r.model, r.data) if r.model.is_superset(out[i].data, r.data) or r.model.is_superset(r.data, out[i].data)), None)
         if twin is None:
+            twins.add(len(out), r.model, r.data)
             out.append(r)
         elif not out[twin].model.is_superset(out[twin].data, r.data):
             out[twin].data = r.data
+            twins.add(twin, r.model, r.data)
     return out
 
 
-def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sections: DataFrame | None = None, most: int = 5_000) -> DataFrame:
+def _keys(compound: dict | None) -> list[str]:
+    """What two records of one compound have in common."""
+    return [*("n" + x for x in (compound or {}).get("names", ())), *("l" + x for x in (compound or {}).get("labels", ()))]
+
+
+def _frozen(x):
+    if isinstance(x, dict):
+        return frozenset((k, _frozen(v)) for k, v in x.items())
+    return tuple(map(_frozen, x)) if isinstance(x, list) else x
+
+
+def _leaves(model: Model, data: dict | None, at: str = "") -> Iterator[tuple[str, list]]:
+    """(path, values) of all fields, values empty for an empty one."""
+    for f in model.fields:
+        x = None if data is None or f.is_empty(data.get(f.name)) else data[f.name]
+        if isinstance(f.kind, Model):
+            yield from _leaves(f.kind, x, f"{at}{f.name}.")
+        elif isinstance(f.kind, tuple) and not isinstance(f.kind[1], Model):
+            yield at + f.name, list({_frozen(v) for v in x or ()})
+        else:
+            yield at + f.name, [] if x is None else [_frozen(x)]
+
+
+class _Twins:
+    """Records by the values of their leaves. Of two records one of which says all that the other says, each leaf
+    that both have has a value in common, so those that share one with a record, or lack that leaf, are all to ask."""
+
+    def __init__(self):
+        self.having: dict[tuple, list[int]] = {}
+
+    def add(self, i: int, model: Model, data: dict) -> None:
+        for path, values in _leaves(model, data):
+            for v in values or [None]:
+                self.having.setdefault((id(model), path, v), []).append(i)
+
+    def near(self, model: Model, data: dict) -> list[int]:
+        best: list[list[int]] | None = None
+        for path, values in _leaves(model, data):
+            if values:
+                lists = [x for v in {*values, None} if (x := self.having.get((id(model), path, v)))]
+                if best is None or sum(map(len, lists)) < sum(map(len, best)):
+                    best = lists
+        return sorted({i for x in best or () for i in x})
+
+
+class _Contexts:
+    """The records of a document from which others may take what they lack, from near to far.
+
+    A record is only shown those that could change it: of its own model those that have a field it lacks, and agree
+    with it in the field that has most values, or lack that one; of a field's model any, until the field is filled;
+    and compounds that have a name or label of its own. All lists are in the order of the document.
+    """
+
+    def __init__(self, rows: list[Record]):
+        self.rows = rows
+        self.monotone = all(a.section <= b.section for a, b in zip(rows, rows[1:]))
+        self.first, self.end = list(range(len(rows))), list(range(1, len(rows) + 1))  # of the records at one place
+        for i in range(1, len(rows)):
+            if rows[i].at == rows[i - 1].at:
+                self.first[i] = self.first[i - 1]
+        for i in range(len(rows) - 2, -1, -1):
+            if rows[i].at == rows[i + 1].at:
+                self.end[i] = self.end[i + 1]
+        self.of: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            self.of.setdefault(r.model.name, []).append(i)
+        self.telling: dict[str, list] = {}
+        self.same: dict[tuple, dict] = {}
+        self.named: dict[str, dict[str, list[int]]] = {}
+
+    def _selective(self, r: Record):
+        """The field of a record by which those that contradict it are best left out."""
+        name = r.model.name
+        if name not in self.telling:
+            plain = [f for f in r.model.fields if f.name != "compound" and not f.ignore_when_merging]
+            count = {f.name: len({_frozen(x) for i in self.of[name] if not f.is_empty(x := self.rows[i].data.get(f.name))}) for f in plain}
+            self.telling[name] = sorted(plain, key=lambda f: -count[f.name])
+        return next((f for f in self.telling[name] if not f.is_empty(r.data.get(f.name))), None)
+
+    def _place(self, index: dict, g, i: int) -> None:
+        x = None if g is None else self.rows[i].data.get(g.name)
+        insort(index.setdefault(None if g is None or g.is_empty(x) else (_frozen(x),), []), i)
+
+    def _alike(self, r: Record, f, g) -> list[list[int]]:
+        """Records of the model that have f and don't differ in g."""
+        key = (r.model.name, f.name, g and g.name)
+        if key not in self.same:
+            self.same[key] = {}
+            for i in self.of[r.model.name]:
+                if not f.is_empty(self.rows[i].data.get(f.name)):
+                    self._place(self.same[key], g, i)
+        index = self.same[key]
+        return [x for k in ({None} if g is None else {None, (_frozen(r.data[g.name]),)}) if (x := index.get(k))]
+
+    def _with_key(self, model: str, key: str) -> list[int]:
+        if model not in self.named:
+            index = self.named[model] = {}
+            for i in self.of.get(model, ()):
+                for k in set(_keys(self.rows[i].data)):
+                    index.setdefault(k, []).append(i)
+        return self.named[model].get(key, [])
+
+    def _order(self, r: Record, j: int) -> tuple:
+        at, o = r.at, self.rows[j]
+        d = (0, 0, 0, abs(at[1] - o.at[1])) if at[0] == o.at[0] else (0, abs(r.section - o.section), abs(at[0] - o.at[0]), 0)
+        return d, o.at > at, [-x for x in o.at] if o.at < at else list(o.at), j
+
+    def _walks(self, i: int, found: list[int]) -> list[Iterator[int]]:
+        """The list from near to far, as runs that are each in order: back, at the same place, ahead."""
+        if not self.monotone:
+            return [iter(sorted((j for j in found if j != i), key=lambda j: self._order(self.rows[i], j)))]
+        low, high = bisect_left(found, self.first[i]), bisect_left(found, self.end[i])
+
+        def back() -> Iterator[int]:
+            k = low
+            while k:
+                begin = bisect_left(found, self.first[found[k - 1]])
+                yield from found[begin:k]
+                k = begin
+
+        return [back(), (j for j in found[low:high] if j != i), (found[k] for k in range(high, len(found)))]
+
+    def fill(self, i: int) -> None:
+        r = self.rows[i]
+        missing = [f for f in r.model.fields if f.contextual and f.is_empty(r.data.get(f.name))]
+        g = self._selective(r)
+        heap: list[tuple] = []
+        keys: set[str] = set()
+
+        def step(walk: Iterator[int], f, until_filled: bool) -> None:
+            if not (until_filled and not f.is_empty(r.data.get(f.name))) and (j := next(walk, None)) is not None:
+                order = self._order(r, j)
+                if within(Range(*order[0], bare=False), f.contextual_range):
+                    heappush(heap, (order, len(steps), walk, f, until_filled))
+                    steps.append(None)
+
+        def show(found: list[int], f, until_filled: bool) -> None:
+            for walk in self._walks(i, found):
+                step(walk, f, until_filled)
+
+        def show_named() -> None:
+            for f in r.model.fields:
+                if f.name == "compound" and f.contextual and isinstance(f.kind, Model):
+                    for k in _keys(r.data.get(f.name)):
+                        if k not in keys:
+                            keys.add(k)
+                            show(self._with_key(f.kind.name, k), f, False)
+
+        steps: list[None] = []  # so that nothing but the order is compared
+        for f in missing:
+            for found in () if f.never_merge else self._alike(r, f, g):
+                show(found, f, True)
+            if isinstance(f.kind, Model):
+                show(self.of.get(f.kind.name, []), f, True)
+        show_named()
+        passed = None
+        while heap:
+            order, _, walk, f, until_filled = heappop(heap)
+            if passed is None or order > passed:
+                passed = order
+                o = self.rows[order[-1]]
+                if merge_contextual(r, o, distance(r, o)):
+                    if r.model.contextual_fulfilled(r.data):
+                        break
+                    show_named()
+            step(walk, f, until_filled)
+        for f in missing:  # what it has got, others may take
+            if not f.is_empty(r.data.get(f.name)):
+                for (name, field, by), index in self.same.items():
+                    if (name, field) == (r.model.name, f.name):
+                        self._place(index, next((x for x in r.model.fields if x.name == by), None), i)
+        if r.model.name in self.named and missing:
+            for k in set(_keys(r.data)):
+                found = self.named[r.model.name].setdefault(k, [])
+                if i not in found:
+                    insort(found, i)
+
+
+def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sections: DataFrame | None = None) -> DataFrame:
     """(doc, el_idx, sent_idx, rec_idx, model, method, payload, confidence) after merging within each document.
 
-    sections: (doc, el_idx, section) of elements; without it a document is one section. most: how many records of a
-    document are resolved together; a document above it is cut at elements, so no group grows with the data.
+    sections: (doc, el_idx, section) of elements; without it a document is one section. A document is resolved as a whole,
+    whatever its length.
     """
     by = {m.name: m for top in models for m in top.flatten()}
     rows = records.join(sections, [doc, "el_idx"], "left") if sections is not None else records.withColumn("section", F.lit(0))
-    before = Window.partitionBy(doc).orderBy("el_idx").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_part", F.floor(F.coalesce(F.count("*").over(before), F.lit(0)) / most))
     kind = records.schema[doc].dataType.simpleString()
     schema = f"`{doc}` {kind}, el_idx int, sent_idx int, rec_idx int, model string, method string, payload string, confidence map<string,double>"
 
-    columns = [doc, "_part", "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence", "section"]
+    columns = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence", "section"]
     names = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence"]
 
     def done(key, group: list[Record]) -> list[tuple]:
@@ -159,18 +343,18 @@ def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sectio
         at, group = None, []
         for b in batches:
             out = []
-            for key, part, e, s, r, m, method, p, c, sec in b[columns].itertuples(index=False, name=None):
-                if at is not None and at != (key, part):
-                    out += done(at[0], group)
+            for key, e, s, r, m, method, p, c, sec in b[columns].itertuples(index=False, name=None):
+                if group and at != key:
+                    out += done(at, group)
                     group = []
-                at = (key, part)
+                at = key
                 if m in by:
                     group.append(Record(by[m], json.loads(p), (int(e), int(s), int(r)), method, c, 0 if pd.isna(sec) else int(sec)))
             yield pd.DataFrame(out, columns=names)
-        if at is not None:
-            yield pd.DataFrame(done(at[0], group), columns=names)
+        if group:
+            yield pd.DataFrame(done(at, group), columns=names)
 
-    placed = rows.select(*columns).where(F.col(doc).isNotNull()).repartition(doc, "_part").sortWithinPartitions(doc, "_part", "el_idx", "sent_idx", "rec_idx")
+    placed = rows.select(*columns).where(F.col(doc).isNotNull()).repartition(doc).sortWithinPartitions(doc, "el_idx", "sent_idx", "rec_idx")
     return placed.mapInPandas(run, schema)
 
 
