@@ -4,9 +4,12 @@ Each distinct string is parsed into a key: the family name without accents and p
 initial, or the proper part of an organisation and the initials of what it is. Which of two words is the
 given name is decided by how often each word stands in either place elsewhere in the corpus.
 
-Keys are then attributed by a noisy channel: frequent keys are candidates for the keys within one or two
-edits of them; the posterior of a candidate is its frequency times the likelihood of the slips, and every key
-is attached to the maximum, which may be itself. Candidates come from a join on deletion variants.
+Keys are then attributed by a noisy channel: keys one slip away are candidates, and compete with the key's being a
+name of its own. A distinct string is one writing, its copies repeat it: a candidate explains each writing of a key by
+a slip of some kind, and the share that went wrong; the own prior rises with frequency. So a key written
+in many ways, or nearly as frequent as its candidate, stays itself, and every other is attached to the maximum only.
+An initial abbreviates any given name that begins with it, with certainty, as keys hold nothing else of given names.
+Candidates come from a join on deletion variants.
 
 Defined cases: null, blank and 'et al.' elements name nobody; strings of which no key can be made are linked
 with none; ties go to the more frequent, then to the smaller key; repeated strings count as frequency;
@@ -39,10 +42,16 @@ _STOP = {"the", "of", "on", "for", "and", "in", "at", "a"}
 
 #: Longer words are compared for equality only; no family name is as long.
 LONGEST = 64
-#: Log-likelihood of one slip in a family name, and how much more frequent a candidate must be to win.
-SLIP = -4.0
-#: Log-prior of a rare key that is close to a frequent one being a name of its own.
-OWN = -9.0
+#: Log-likelihood of a slip in the first writing of a family name that has it: a letter doubled or not, left out, added or moved, replaced.
+DOUBLED, MOVED, REPLACED = -3.5, -4.0, -4.3
+#: The same of each further writing, which may be taken from the first.
+AGAIN = -1.5
+#: Log-likelihood of umlauts being written out, in all writings of a name.
+WRITTEN_OUT = -0.7
+#: Log-prior of a key that is met once and close to another being a name of its own, and how it rises with log frequency.
+OWN, OWN_RISE = -9.0, 0.5
+#: How fast it becomes unlikely that a share of a name has one slip, of all copies or all writings: an exponent of the rest.
+RIGHT = 5.0
 
 
 def unaccented(text: str) -> str:
@@ -156,6 +165,16 @@ def one_slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1]
 
 
+def slip(a: str, b: str) -> float | None:
+    """Log-likelihood of the slip between two different words in one writing; None if there isn't just one."""
+    if not one_slip(a, b):
+        return None
+    if len(a) == len(b):
+        return MOVED if sorted(a) == sorted(b) else REPLACED
+    once = lambda w: re.sub(r"(.)\1+", r"\1", w)
+    return DOUBLED if once(a) == once(b) else MOVED
+
+
 def keyed(names: DataFrame) -> DataFrame:
     """(name, n, family, initial, kind) of distinct names: the key of each, orders decided by the corpus."""
 
@@ -199,26 +218,34 @@ def keyed(names: DataFrame) -> DataFrame:
 def attributed(keys: DataFrame) -> DataFrame:
     """(key, root): every key with the key it is attached to in the end, itself if to none.
 
-    keys: (key, kind, family, initial, n). Candidates share kind and initial and are one slip away,
-    the two spellings of umlauts aside.
+    keys: (key, kind, family, initial, n, d), n strings of which d are distinct. Candidates share kind and initial,
+    are one slip away, the two spellings of umlauts aside, and come before by n * d, so that no two wait for each other.
     """
 
     def spread(batches):
         for b in batches:
-            rows = [(k, f, n, f"{kind}|{i}|{v}") for k, f, n, kind, i in zip(b["key"], b["family"], b["n"], b["kind"], b["initial"]) for v in _deletions(f) | _deletions(loose(f))]
-            yield pd.DataFrame(rows, columns=["key", "family", "n", "variant"])
+            rows = [(k, f, n, d, f"{kind}|{i}|{v}") for k, f, n, d, kind, i in zip(b["key"], b["family"], b["n"], b["d"], b["kind"], b["initial"]) for v in _deletions(f) | _deletions(loose(f))]
+            yield pd.DataFrame(rows, columns=["key", "family", "n", "d", "variant"])
 
     def verify(batches):
         for b in batches:
-            yield b[[one_slip(x, y) or one_slip(loose(x), loose(y)) for x, y in zip(b["family"], b["family2"])]]
+            spelled = [loose(x) == loose(y) for x, y in zip(b["family"], b["family2"])]
+            slips = [0.0 if same else max((c for c in (slip(x, y), slip(loose(x), loose(y))) if c is not None), default=None) for same, x, y in zip(spelled, b["family"], b["family2"])]
+            out = b.assign(spelled=spelled, slip=pd.Series(slips, index=b.index, dtype="float64"))
+            yield out[out["slip"].notna()]
 
-    wide = keys.where(F.length("family").between(4, LONGEST)).select("key", "family", "n", "kind", "initial").mapInPandas(spread, "key string, family string, n bigint, variant string").checkpoint()
+    wide = keys.where(F.length("family").between(4, LONGEST)).select("key", "family", "n", "d", "kind", "initial").mapInPandas(spread, "key string, family string, n bigint, d bigint, variant string").checkpoint()
     # only variants that two keys share can link; a variant's keys differ by one slip at most twice
-    other = wide.select("variant", F.col("key").alias("key2"), F.col("family").alias("family2"), F.col("n").alias("n2"))
-    pairs = wide.join(other, "variant").where("key <> key2 and (n2 > n or n2 = n and key2 < key)").select("key", "family", "n", "key2", "family2", "n2").distinct()
-    near = pairs.mapInPandas(verify, "key string, family string, n bigint, key2 string, family2 string, n2 bigint")
-    posterior = F.log(F.col("n2")) + F.lit(SLIP)
-    best = near.where(posterior >= F.log("n") + F.lit(OWN)).groupBy("key").agg(F.max_by("key2", F.struct(posterior, F.col("key2"))).alias("to"))
+    other = wide.select("variant", *(F.col(c).alias(c + "2") for c in ("key", "family", "n", "d")))
+    before = F.struct(F.col("n2") * F.col("d2"), "n2") > F.struct(F.col("n") * F.col("d"), "n")
+    tied = (F.struct(F.col("n2") * F.col("d2"), "n2") == F.struct(F.col("n") * F.col("d"), "n")) & (F.col("key2") < F.col("key"))
+    pairs = wide.join(other, "variant").where(before | tied).where("key <> key2").drop("variant").distinct()
+    near = pairs.mapInPandas(verify, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", spelled boolean, slip double")
+    right = F.greatest(F.col("n2") / (F.col("n") + F.col("n2")), F.col("d2") / (F.col("d") + F.col("d2")))
+    likelihood = F.when(F.col("spelled"), WRITTEN_OUT).otherwise(F.col("slip") + AGAIN * (F.col("d") - 1) + RIGHT * F.log(right))
+    won = near.where(likelihood >= F.lit(OWN) + OWN_RISE * F.log("n"))
+    best = won.groupBy("key").agg(F.max_by("key2", F.struct(likelihood + F.log("n2"), F.col("key2"))).alias("to"))
+    # every key points to one at most: the components are trees, each around a key that stays itself
     roots = components(best.select(F.col("key").alias("u"), F.col("to").alias("v")))
     return keys.select("key").join(roots.select(F.col("node").alias("key"), "component"), "key", "left").select("key", F.coalesce("component", "key").alias("root"))
 
@@ -228,7 +255,7 @@ def entities(names: DataFrame) -> DataFrame:
     shared_checkpoints(names.sparkSession)
     counts = names.select("name").where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
     of = keyed(counts).withColumn("key", F.concat_ws("|", "kind", "initial", "family")).checkpoint()
-    keys = of.groupBy("key", "kind", "family", "initial").agg(F.sum("n").alias("n"))
+    keys = of.groupBy("key", "kind", "family", "initial").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
     return of.join(attributed(keys), "key").select("name", F.col("root").alias("entity"))
 
 

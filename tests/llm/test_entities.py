@@ -164,3 +164,12 @@ def test_mixture(spark):
     again = X.mixture(counts.repartition(7), weights, per_bucket=50)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in mixed.collect()}
     assert X.mixture(counts.limit(0), weights).count() == 0
+
+
+def test_frequent_names_stay_themselves(spark):
+    forms = lambda f: [f"{f}, Jan", f"{f} J", f"J. {f}", f"{f}, J."]
+    rows = [x for f, n in (("Hansen", 125), ("Jansen", 100), ("Janser", 90), ("Mayer", 125), ("Meyer", 100)) for x in forms(f) * n]
+    rows += ["Hannsen, J."] * 3 + ["Mayre, Jan"] + ["Sandor, K."] * 500 + ["Sander, K."] * 400
+    got = {r.name: r.entity for r in N.entities(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
+    groups = [[*forms("Hansen"), "Hannsen, J."], forms("Jansen"), forms("Janser"), [*forms("Mayer"), "Mayre, Jan"], forms("Meyer"), ["Sandor, K."], ["Sander, K."]]
+    assert sorted(map(sorted, groups)) == sorted(sorted(n for n in got if got[n] == e) for e in set(got.values()))
