@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spagyric.operators import extract as X
 from spagyric.operators.resolve import resolve
+from spagyric.operators.tagging import defined_abbreviations
 from spagyric.operators.tokens import section_filter, sentences
 from spagyric.sources.readers import elements
 from spagyric.spec.models import Model
@@ -35,7 +36,8 @@ def extract(docs: DataFrame, models: list[Model], key: str = "doc_id", content:
     els = elements(docs, key, content, name).where(~F.col("el_type").isin(*(skip_elements or ("",))))
     if allow_section or skip_section:
         els = section_filter(els, allow_section, skip_section)
-    sents = X.with_definitions(sentences(els.where(F.col("el_type").isin(*TEXTS)), [key, "el_idx"], "text"), key, ["el_idx", "sent_idx"], models)
+    plain = sentences(els.where(F.col("el_type").isin(*TEXTS)), [key, "el_idx"], "text")
+    sents = X.with_definitions(plain, key, ["el_idx", "sent_idx"], models)
     found = X.records(sents, [key, "el_idx", "sent_idx"], models, specifiers="specifiers")
     # a table's cells stand one sentence before its caption, from which they take what they lack
     tables = X.table_records(els.where("el_type = 'Table'").select(key, "el_idx", F.lit(-1).alias("sent_idx"), "grid"), [key, "el_idx", "sent_idx"], "grid", models)
@@ -43,7 +45,7 @@ def extract(docs: DataFrame, models: list[Model], key: str = "doc_id", content:
     if not merge:
         return every
     sections = els.select(key, "el_idx", F.count_if(F.col("el_type") == "Heading").over(_before(key)).cast("int").alias("section"))
-    return resolve(every, models, key, sections)
+    return resolve(every, models, key, sections, defined_abbreviations(plain, [key]))
 
 
 def _before(key: str):

@@ -90,16 +90,20 @@ def merge_contextual(into: Record, other: Record, d: Range) -> bool:
     return changed
 
 
-def resolve_document(rows: list[Record], definitions: dict[str, list[str]] | None = None) -> list[Record]:
+def resolve_document(rows: list[Record], definitions: dict[str, list[str]] | list[tuple[str, str]] | None = None) -> list[Record]:
     """Compounds united, abbreviations added, contexts merged from near to far, then clean and distinct."""
     rows = sorted(rows, key=lambda r: r.at)
     names = [r for r in rows if r.model.name == "Compound"]
-    for r in names:  # names and their abbreviations
-        for short, long in (definitions or {}).items():
-            long = " ".join(long) if isinstance(long, list) else long
-            own = set(r.data.get("names", ()))
-            if own & {short, long}:
-                r.data["names"] = sorted(own | {short, long})
+    forms: dict[str, set[str]] = {}
+    for short, long in definitions.items() if isinstance(definitions, dict) else definitions or ():
+        long = " ".join(long) if isinstance(long, list) else long
+        for a, b in ((short, long), (long, short)):
+            forms.setdefault(a, set()).add(b)
+    for r in names if forms else ():  # names and their abbreviations
+        own = set(r.data.get("names", ()))
+        new = own.union(*(forms.get(x, ()) for x in own))
+        if new != own:
+            r.data["names"] = sorted(new)
     by_key: dict[str, int] = {}
     parent = list(range(len(names)))
     held = [{k: set(r.data.get(k, ())) for k in ("names", "labels", "roles")} for r in names]  # of roots
@@ -321,38 +325,43 @@ class _Contexts:
                     insort(found, i)
 
 
-def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sections: DataFrame | None = None) -> DataFrame:
+def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sections: DataFrame | None = None, definitions: DataFrame | None = None) -> DataFrame:
     """(doc, el_idx, sent_idx, rec_idx, model, method, payload, confidence) after merging within each document.
 
     sections: (doc, el_idx, section) of elements; without it a document is one section. A document is resolved as a whole,
-    whatever its length.
+    whatever its length. definitions: (doc, short, long) of abbreviations, which hold in the whole document.
     """
     by = {m.name: m for top in models for m in top.flatten()}
     rows = records.join(sections, [doc, "el_idx"], "left") if sections is not None else records.withColumn("section", F.lit(0))
+    if definitions is not None:  # rows without a place, so they come first
+        said = {doc: F.col(doc), "payload": F.to_json(F.array("short", "long"))}
+        rows = rows.unionByName(definitions.select(*(said.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema)))
     kind = records.schema[doc].dataType.simpleString()
     schema = f"`{doc}` {kind}, el_idx int, sent_idx int, rec_idx int, model string, method string, payload string, confidence map<string,double>"
 
     columns = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence", "section"]
     names = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence"]
 
-    def done(key, group: list[Record]) -> list[tuple]:
-        return [(key, *r.at, r.model.name, r.method, json.dumps(r.data, ensure_ascii=False, sort_keys=True), r.confidence) for r in resolve_document(group)]
+    def done(key, group: list[Record], told: list) -> list[tuple]:
+        return [(key, *r.at, r.model.name, r.method, json.dumps(r.data, ensure_ascii=False, sort_keys=True), r.confidence) for r in resolve_document(group, told)]
 
     def run(batches):
         # partitions are sorted, so a document's records follow each other, also from batch to batch
-        at, group = None, []
+        at, group, told = None, [], []
         for b in batches:
             out = []
             for key, e, s, r, m, method, p, c, sec in b[columns].itertuples(index=False, name=None):
-                if group and at != key:
-                    out += done(at, group)
-                    group = []
+                if at != key:
+                    out += done(at, group, told) if group else []
+                    group, told = [], []
                 at = key
-                if m in by:
+                if m is None and pd.isna(e):
+                    told.append(tuple(json.loads(p)))
+                elif m in by:
                     group.append(Record(by[m], json.loads(p), (int(e), int(s), int(r)), method, c, 0 if pd.isna(sec) else int(sec)))
             yield pd.DataFrame(out, columns=names)
         if group:
-            yield pd.DataFrame(done(at, group), columns=names)
+            yield pd.DataFrame(done(at, group, told), columns=names)
 
     placed = rows.select(*columns).where(F.col(doc).isNotNull()).repartition(doc).sortWithinPartitions(doc, "el_idx", "sent_idx", "rec_idx")
     return placed.mapInPandas(run, schema)

@@ -402,3 +402,29 @@ def mentions(sentences: DataFrame, keys: list[str], text: str = "text") -> DataF
         return s.map(one)
 
     return sentences.select(*keys, F.explode(run(text)).alias("m")).select(*keys, "m.*")
+
+
+def defined_abbreviations(sentences: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, short, long) of the abbreviations that sentences define; only those with a bracket or '=' are looked at."""
+
+    def run(batches):
+        from spagyric.operators.tokens import word_spans
+
+        for b in batches:
+            out = []
+            for *key, x in zip(*(b[c] for c in [*keys, text])):
+                spans = word_spans(x, "plain")
+                for short, long in abbreviations([w for w, _, _ in spans]):
+                    out.append((*key, *(_as_written(x, spans, ws) for ws in (short, long))))
+            yield pd.DataFrame(out, columns=[*keys, "short", "long"])
+
+    schema = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys)
+    # a short form has a capital letter; bracketed or before '='
+    able = F.col(text).rlike(r"[(=]") & F.col(text).rlike(r"\p{Lu}")
+    return sentences.where(able).select(*keys, text).mapInPandas(run, f"{schema}, short string, long string")
+
+
+def _as_written(text: str, spans: list[tuple[str, int, int]], ws: Sequence[str]) -> str:
+    """Words that follow each other as they stand in the text, so that they equal names found in it."""
+    i = next(i for i in range(len(spans)) if [w for w, _, _ in spans[i : i + len(ws)]] == list(ws))
+    return text[spans[i][1] : spans[i + len(ws) - 1][2]]
