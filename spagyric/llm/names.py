@@ -13,7 +13,7 @@ Candidates come from a join on deletion variants.
 
 Defined cases: null, blank and 'et al.' elements name nobody; strings of which no key can be made are linked
 with none; ties go to the more frequent, then to the smaller key; repeated strings count as frequency;
-words of more than 64 characters are linked only if equal.
+in short words a slip is less likely than another name, and one letter alone is never a slip of another.
 """
 
 from __future__ import annotations
@@ -40,10 +40,12 @@ school faculty division technology applied advanced and for of on the in
 """.split()
 _STOP = {"the", "of", "on", "for", "and", "in", "at", "a"}
 
-#: Longer words are compared for equality only; no family name is as long.
+#: Longer words meet by their first or last letters, half as many, of which a slip leaves one part as it is.
 LONGEST = 64
 #: Log-likelihood of a slip in the first writing of a family name that has it: a letter doubled or not, left out, added or moved, replaced.
 DOUBLED, MOVED, REPLACED = -3.5, -4.0, -4.3
+#: What a slip loses in words of fewer than 4 letters, many of which are one letter apart.
+SHORT = -3.0
 #: The same of each further writing, which may be taken from the first.
 AGAIN = -1.5
 #: Log-likelihood of umlauts being written out, in all writings of a name.
@@ -155,6 +157,12 @@ def _deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def _variants(word: str) -> set[str]:
+    """What words one slip apart have in common, one of it at least."""
+    out = _deletions(word) if len(word) <= LONGEST else {word}
+    return out | {"^" + word[: LONGEST // 2], "$" + word[-LONGEST // 2 :]} if len(word) >= LONGEST else out
+
+
 def one_slip(a: str, b: str) -> bool:
     """Whether one insertion, deletion, substitution or swap of neighbours makes one of the other."""
     if abs(len(a) - len(b)) > 1 or a == b:
@@ -196,12 +204,12 @@ def keyed(names: DataFrame) -> DataFrame:
     either = parsed.where("kind = 'either'")
     # a word met nowhere else counts as given if it is one slip from a word that is mostly given
     words = either.select(F.explode(F.array("family", "given")).alias("w")).distinct()
-    frequent = rate.where("rate > 1").select("w", F.lit(True).alias("known"))
+    frequent = rate.where("rate > 1 and (length(w) > 3 or rate > 3)").select("w", F.lit(True).alias("known"))
     loose = words.join(rate.where("rate <> 0").select("w"), "w", "left_anti").select("w", F.lit(False).alias("known"))
 
     def variants(batches):
         for b in batches:
-            yield pd.DataFrame([(w, known, v) for w, known in zip(b["w"], b["known"]) if 3 < len(w) <= LONGEST for v in _deletions(w)], columns=["w", "known", "variant"])
+            yield pd.DataFrame([(w, known, v) for w, known in zip(b["w"], b["known"]) if len(w) > 1 for v in _variants(w)], columns=["w", "known", "variant"])
 
     wide = frequent.unionByName(loose).mapInPandas(variants, "w string, known boolean, variant string")
     meets = wide.groupBy("variant").agg(F.bool_or("known").alias("some"), F.collect_set(F.when(~F.col("known"), F.col("w"))).alias("ws"))
@@ -224,17 +232,18 @@ def attributed(keys: DataFrame) -> DataFrame:
 
     def spread(batches):
         for b in batches:
-            rows = [(k, f, n, d, f"{kind}|{i}|{v}") for k, f, n, d, kind, i in zip(b["key"], b["family"], b["n"], b["d"], b["kind"], b["initial"]) for v in _deletions(f) | _deletions(loose(f))]
+            rows = [(k, f, n, d, f"{kind}|{i}|{v}") for k, f, n, d, kind, i in zip(b["key"], b["family"], b["n"], b["d"], b["kind"], b["initial"]) for v in _variants(f) | _variants(loose(f))]
             yield pd.DataFrame(rows, columns=["key", "family", "n", "d", "variant"])
 
     def verify(batches):
         for b in batches:
             spelled = [loose(x) == loose(y) for x, y in zip(b["family"], b["family2"])]
             slips = [0.0 if same else max((c for c in (slip(x, y), slip(loose(x), loose(y))) if c is not None), default=None) for same, x, y in zip(spelled, b["family"], b["family2"])]
+            slips = [c and c + SHORT * (min(len(x), len(y)) < 4) for c, x, y in zip(slips, b["family"], b["family2"])]
             out = b.assign(spelled=spelled, slip=pd.Series(slips, index=b.index, dtype="float64"))
             yield out[out["slip"].notna()]
 
-    wide = keys.where(F.length("family").between(4, LONGEST)).select("key", "family", "n", "d", "kind", "initial").mapInPandas(spread, "key string, family string, n bigint, d bigint, variant string").checkpoint()
+    wide = keys.where(F.length("family") > 1).select("key", "family", "n", "d", "kind", "initial").mapInPandas(spread, "key string, family string, n bigint, d bigint, variant string").checkpoint()
     # only variants that two keys share can link; a variant's keys differ by one slip at most twice
     other = wide.select("variant", *(F.col(c).alias(c + "2") for c in ("key", "family", "n", "d")))
     before = F.struct(F.col("n2") * F.col("d2"), "n2") > F.struct(F.col("n") * F.col("d"), "n")

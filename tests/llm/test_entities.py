@@ -173,3 +173,11 @@ def test_frequent_names_stay_themselves(spark):
     got = {r.name: r.entity for r in N.entities(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
     groups = [[*forms("Hansen"), "Hannsen, J."], forms("Jansen"), forms("Janser"), [*forms("Mayer"), "Mayre, Jan"], forms("Meyer"), ["Sandor, K."], ["Sander, K."]]
     assert sorted(map(sorted, groups)) == sorted(sorted(n for n in got if got[n] == e) for e in set(got.values()))
+
+
+def test_short_and_long_families(spark):
+    long = "ab" * 40
+    groups = [["Wang, L.", "Wan, L."], ["Kim, S.", "Kin, S."], ["Lee, S."], [f"{long}c, T.", f"{long[:9]}x{long[9:]}c, T.", f"{long[:70]}{long[71:]}c, T."], ["Li, X."], ["Bo, X."]]
+    rows = [(n,) for g in groups for i, n in enumerate(g) for _ in range(1 if i else 30)]
+    got = {r.name: r.entity for r in N.entities(spark.createDataFrame(rows, "name string")).collect()}
+    assert sorted(map(sorted, groups)) == sorted(sorted(n for n in got if got[n] == e) for e in set(got.values()))
