@@ -46,6 +46,8 @@ OWN, OWN_RISE = 0.5, 0.5
 AGAIN, SPREAD = -1.5, 10.0
 #: How fast it becomes unlikely that a share of a name has one slip, of all copies or all writings: an exponent of the rest.
 RIGHT = 5.0
+#: Times that each letter counts as met before the corpus is read.
+LETTER = 200
 #: A pair of spellings counts for the rates of slips if one has this many times the writings of the other.
 CLEAR = 4
 #: A word describes organisations if it stands in this many strings of three or more words, and in at most half as
@@ -225,7 +227,7 @@ def organisations(read: DataFrame) -> DataFrame:
     held = held.select("name", family.alias("family"), "ws").where("family is not null")
     held = held.select("name", "family", F.filter("ws", lambda x: x["w"] != F.col("family")).alias("ws"))
     what = F.array_join(F.transform("ws", lambda x: F.substring(x["w"], 1, 1)), "")
-    full = held.where(F.size("ws") > 1).select("name", "family", what.alias("initial"))
+    full = held.where(F.size("ws") > 1).select("name", "family", what.alias("initial")).checkpoint()
     # acronyms of a description that full names have: of three letters or more, or of that very organisation
     short = read.where("acronym is not null").select("name", "family", F.col("acronym").alias("initial"))
     known = full.select("initial").distinct()
@@ -238,13 +240,13 @@ def keyed(names: DataFrame) -> DataFrame:
     """(name, n, kind, family, given, initial) of distinct names; orders decided by the corpus. Kind is 'person' or
     'org'; given is empty where only initials are written."""
     read = readings(names).checkpoint()
-    orgs = organisations(read)
-    parsed = read.drop("words", "told", "acronym").join(orgs.select("name"), "name", "left_anti").where("kind <> 'none'")
+    orgs = organisations(read).checkpoint()
+    parsed = read.drop("words", "told", "acronym").join(orgs.select("name"), "name", "left_anti").where("kind <> 'none'").checkpoint()
     sure = parsed.where("kind = 'person'")
     # counts of distinct strings: a given name goes with many families
     as_given = sure.where("given <> ''").groupBy(F.col("given").alias("w")).agg(F.count("*").alias("g"))
     as_family = sure.groupBy(F.col("family").alias("w")).agg(F.count("*").alias("f"))
-    rate = as_given.join(as_family, "w", "full").select("w", (F.log(F.coalesce("g", F.lit(0)) + 0.5) - F.log(F.coalesce("f", F.lit(0)) + 0.5)).alias("rate"))
+    rate = as_given.join(as_family, "w", "full").select("w", (F.log(F.coalesce("g", F.lit(0)) + 0.5) - F.log(F.coalesce("f", F.lit(0)) + 0.5)).alias("rate")).checkpoint()
     either = parsed.where("kind = 'either'")
     # a word met nowhere else counts as given if it is one slip from a word that is mostly given
     words = either.select(F.explode(F.array("family", "given")).alias("w")).distinct()
@@ -287,7 +289,8 @@ def channel(pairs: DataFrame, keys: DataFrame) -> tuple[dict[str, float], float,
     count = {r["slip"]: r["count"] for r in clear.collect()}  # one row for each kind
     rates = {k: (count.get(k, 0) + 1) / (total["writings"] + 20) for k in SLIPS}
     letters = [r["count"] for r in keys.select(F.explode(F.split("family", "")).alias("c")).where("c <> ''").groupBy("c").count().collect()]  # one for each letter
-    entropy = -sum(n / sum(letters) * math.log(n / sum(letters)) for n in letters) if letters else 0.0
+    letters = [n + LETTER for n in letters] + [LETTER] * (26 - len(letters))
+    entropy = -sum(n / sum(letters) * math.log(n / sum(letters)) for n in letters)
     return rates, math.log(max(total["names"], 1)), entropy
 
 
