@@ -44,8 +44,9 @@ OWN, OWN_RISE = 0.5, 0.5
 #: Log-likelihood of each further writing with one slip, which may be taken from the first, and how many times the
 #: expected slips are no surprise.
 AGAIN, SPREAD = -1.5, 10.0
-#: How fast it becomes unlikely that a share of a name has one slip, of all copies or all writings: an exponent of the rest.
-RIGHT = 5.0
+#: How fast it becomes unlikely that a share of a name has one slip, of all copies or all writings: an exponent of the
+#: rest, for each unit of the logarithm of the copies.
+RIGHT = 2.5
 #: Times that each letter counts as met before the corpus is read.
 LETTER = 200
 #: A pair of spellings counts for the rates of slips if one has this many times the writings of the other.
@@ -321,7 +322,7 @@ def attributed(keys: DataFrame, estimated: tuple[dict[str, float], float, float]
         ways = F.greatest(F.lit(1.0), F.lit(1.0) * SLIPS[kind](F.col("length")))
         expected = F.when(F.col("slip") == kind, F.col("d2") * rate / ways).otherwise(expected)
     right = F.greatest(F.col("n2") / (F.col("n") + F.col("n2")), F.col("d2") / (F.col("d") + F.col("d2")))
-    likelihood = F.least(F.lit(0.0), F.log(expected)) + RIGHT * F.log(right) + AGAIN * F.greatest(F.lit(0.0), F.col("d") - 1 - SPREAD * expected)
+    likelihood = F.least(F.lit(0.0), F.log(expected)) + RIGHT * F.log(right) * F.log1p("n") + AGAIN * F.greatest(F.lit(0.0), F.col("d") - 1 - SPREAD * expected)
     own = F.least(F.lit(0.0), math.log(OWN) + names - entropy * F.col("length")) + OWN_RISE * F.log("n")
     won = near.withColumn("l", likelihood).where(F.col("l") >= own)
     best = won.groupBy("key").agg(F.max_by("key2", F.struct("l", F.col("n2"), -F.col("key2"))).alias("to"))
