@@ -1,10 +1,11 @@
 """Timestamps of mixed formats, precisions and zones, brought to one unambiguous form.
 
 A text is cut into a date part, a time of day and a zone; dates keep the precision they are written with,
-moments go to UTC. Where no zone is written, the source's zone applies. The zone of a source is chosen
-among candidate offset histories: the declared one if there is one, else the history that its own rows
-violate least often (moments behind their ingestion, stated offsets and abbreviations that the history
-doesn't have). The order of day and month is chosen alike.
+moments go to UTC. Where no zone is written, the source's zone applies. The zone of every source is estimated: of the
+candidate offset histories that one is chosen which its own rows violate least often. Violations are stated offsets and
+abbreviations that a history doesn't have, local times that it skips, and moments behind their ingestion. A declared
+zone is evidence too: it gives way only to a history with at least ``DECLARED`` violations less. The order of
+day and month is chosen alike.
 
 Defined cases: texts that name no real calendar date or time give null; a local time that occurs twice is
 the earlier moment, one that a change of clocks skips is moved on by the change; a source that never
@@ -19,7 +20,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spagyric.session import settled
+from spagyric.session import settled, shared_checkpoints
 
 #: Names of months, folded to lower case without accents, in en, de, fr and es.
 MONTHS = """
@@ -38,6 +39,9 @@ december dezember decembre diciembre dec dez dic
 """
 _MONTH_OF = {name: i + 1 for i, line in enumerate(MONTHS.strip().split("\n")) for name in line.split()}
 
+#: How many violations a declared zone or order outweighs.
+DECLARED = 10
+
 _ZONE = r"Z|z|[+\-−]\d{2}:?\d{2}|[+\-−]\d{2}|[A-Z]{2,5}"
 _CLOCK = rf"(?:[T ]|, )(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:[.,]\d+)?)? ?([AaPp]\.?[Mm]\.?(?![A-Za-z]))? ?({_ZONE})?$"
 #: What a date part looks like once names of months are n<number> and all separators hyphens.
@@ -109,43 +113,53 @@ def _local(df: DataFrame) -> DataFrame:
     return df.withColumn("_local", F.when(whole_day, F.try_make_timestamp_ntz(F.col("_y"), F.col("_m"), F.col("_d"), hour, part(1).try_cast("int"), F.coalesce(part(2), F.lit("0")).try_cast("decimal(8,6)"))))
 
 
-def source_rules(df: DataFrame, source: str, texts: list[str], ingested: str, declared: DataFrame) -> DataFrame:
-    """(source, zone, day_order) for every value of ``source`` in ``df``, null among them.
+#: Texts that may say something about the zone or the order of their source: a zone at the end, a numeric date, an early
+#: hour, in which clocks are changed.
+_TELLING = r"[A-Za-z]{2,5}$|[+\-−]\d{2}:?(?:\d{2})?$|^\s*\d{1,2}[/-]\d{1,2}[/-]|(?:^|\D)(?:0?[0-4]|12):\d"
+
+
+def source_rules(df: DataFrame, source: str, texts: list[str], ingested: str, declared: DataFrame, zones: list[str] | None = None) -> DataFrame:
+    """(source, zone, day_order, violations) for every value of ``source`` in ``df``, null among them.
 
-    declared: (source, tz, day_order), a dimension that doesn't grow; its zones are the candidates.
+    declared: (source, tz, day_order), a dimension that doesn't grow; tz and day_order may be null. zones: the candidates,
+    by default UTC and all declared ones. Only texts that can tell something are cut into parts.
     """
-    zones = sorted({r[0] for r in declared.select("tz").distinct().collect() if r[0]} | {"UTC"})
+    zones = sorted({*(zones or [r[0] for r in declared.select("tz").distinct().collect() if r[0]]), "UTC"})
     known = abbreviations(zones)
-    rows = df.select(F.col(source).alias("source"), F.col(ingested).cast("timestamp_ntz").alias("_seen"), F.explode(F.array(*texts)).alias("_text")).where("_text is not null")
+    sources = df.select(F.col(source).alias("source")).distinct()
+    rows = df.select(F.col(source).alias("source"), F.col(ingested).cast("timestamp_ntz").alias("_seen"), F.explode(F.array(*texts)).alias("_text"))
+    recent = [F.col("_text").contains(F.substring(F.year(F.col("_seen") + F.expr(f"interval {d} day")).cast("string"), 3, 2)) for d in (-1, 1)]
+    rows = rows.where(F.col("_text").rlike(_TELLING) | recent[0] | recent[1])
     rows = with_parts(rows, "_text").withColumn("_order", F.lit("dmy"))
-    slash = lambda i: F.col("_slashed") & (F.get(F.col("_date"), F.lit(i - 1)).try_cast("int") > 12)
+    slash = lambda i: (F.col("_slashed") & (F.get(F.col("_date"), F.lit(i - 1)).try_cast("int") > 12)).cast("int")
     rows = settled(_local(_with_date(rows, "_order")))
-    as_utc = lambda z: F.convert_timezone(z, F.lit("UTC"), F.col("_local"))
-    judged = rows.select("source", "_seen", "_local", "_zone", F.explode_outer(F.array(*map(F.lit, zones))).alias("zone"))
-    utc = as_utc(F.col("zone"))
+    judged = rows.select("source", "_seen", "_local", "_zone", slash(2).alias("_2"), slash(1).alias("_1"), F.explode(F.array(*map(F.lit, zones))).alias("zone"))
+    judged = judged.withColumn("_utc", F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("_local")))
     stated = _offset(F.col("_zone"), F.col("zone"), known)
-    has = F.timestamp_diff("MINUTE", utc, F.col("_local"))
+    has = F.timestamp_diff("MINUTE", F.col("_utc"), F.col("_local"))
+    skipped = F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("_utc")) != F.col("_local")
     wrong = (
-        F.when(F.col("_zone").isNull(), (utc > F.col("_seen")).cast("int"))
+        F.when(F.col("_zone").isNull(), ((F.col("_utc") > F.col("_seen")) | skipped).cast("int"))
         .when(F.upper("_zone").isin("Z", "UTC", "GMT"), F.lit(0))
         .when(stated.isNull(), F.lit(1))
         .otherwise((stated != has).cast("int"))
     )
-    worst = judged.groupBy("source", "zone").agg(F.sum(wrong).alias("violations"))
-    orders = rows.groupBy("source").agg(F.sum(slash(2).cast("int")).alias("not_dmy"), F.sum(slash(1).cast("int")).alias("not_mdy"))
-    said = declared.select(F.col("source").alias("_said"), "tz", "day_order")
-    best = worst.join(F.broadcast(said), F.col("source").eqNullSafe(F.col("_said")), "left").groupBy("source").agg(
-        F.min_by("zone", F.struct(~F.col("zone").eqNullSafe(F.col("tz")), "violations", F.col("zone") != "UTC", "zone")).alias("zone")
-    )
-    out = orders.join(best.withColumnRenamed("source", "_b"), F.col("source").eqNullSafe(F.col("_b")), "left").join(F.broadcast(said), F.col("source").eqNullSafe(F.col("_said")), "left")
-    fewer = F.when(F.coalesce("not_mdy", F.lit(0)) < F.coalesce("not_dmy", F.lit(0)), "mdy").otherwise("dmy")
-    return out.select("source", F.coalesce("tz", "zone", F.lit("UTC")).alias("zone"), F.coalesce("day_order", fewer).alias("day_order"))
+    per = judged.groupBy("source", "zone").agg(F.coalesce(F.sum(wrong), F.lit(0)).alias("violations"), F.sum("_2").alias("not_dmy"), F.sum("_1").alias("not_mdy"))
+    said = F.broadcast(declared.select(F.col("source").alias("_said"), "tz", "day_order"))  # as large as the dimension
+    full = sources.select(F.col("source").alias("_s"), F.explode(F.array(*map(F.lit, zones))).alias("_z"))
+    per = full.join(per, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("zone")), "left").join(said, F.col("_s").eqNullSafe(F.col("_said")), "left")
+    cost = F.coalesce("violations", F.lit(0)) + F.when(F.col("tz").isNotNull() & (F.col("_z") != F.col("tz")), DECLARED).otherwise(0)
+    best = F.struct(cost.alias("cost"), (F.col("_z") != F.col("tz")).alias("other"), F.col("_z") != "UTC", "_z")
+    out = per.groupBy("_s").agg(F.min_by("_z", best).alias("zone"), F.min(cost).alias("violations"), F.max("not_dmy").alias("not_dmy"), F.max("not_mdy").alias("not_mdy"), F.max("day_order").alias("said"))
+    dmy, mdy = F.coalesce("not_dmy", F.lit(0)) + F.when(F.col("said") == "mdy", DECLARED).otherwise(0), F.coalesce("not_mdy", F.lit(0)) + F.when(F.col("said") == "dmy", DECLARED).otherwise(0)
+    return out.select(F.col("_s").alias("source"), "zone", F.when(mdy < dmy, "mdy").otherwise("dmy").alias("day_order"), "violations")
 
 
 def normal_moments(df: DataFrame, key: str, source: str, texts: list[str], ingested: str, declared: DataFrame) -> DataFrame:
     """(key, field, text, norm, precision) of every non-null text; norm and precision are null where the text
     names no real date. precision: second, day, month or year."""
-    rules = source_rules(df, source, texts, ingested, declared).persist()
+    shared_checkpoints(df.sparkSession)
+    rules = source_rules(df, source, texts, ingested, declared).checkpoint()
     side = rules.select(F.col("source").alias("_source"), "zone", "day_order")
     side = F.broadcast(side) if rules.count() <= 10_000 else side
     zones = sorted({r[0] for r in declared.select("tz").distinct().collect() if r[0]} | {"UTC"})

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spagyric.operators.moments import normal_moments, not_normal
+from spagyric.operators.moments import normal_moments, not_normal, source_rules
 from spagyric.operators.quantities import not_common, quantities
-from spagyric.operators.shredding import flat_table, shred
+from spagyric.operators.shredding import child_paths, flat_table, shred
 from spagyric.session import table
 
 
@@ -38,13 +38,26 @@ def p5_moments(spark: SparkSession, d: str) -> DataFrame:
     return _moments(spark, d).distinct()
 
 
+def p5_zones(spark: SparkSession, d: str) -> DataFrame:
+    """The zones of the publishers are withheld and estimated from their rows among all zones of the dimension; whether the
+    estimate has the declared zone's offset in every month of the years 2008 to 2023."""
+    publishers = table(spark, d, "publishers")
+    zones = sorted({r[0] for r in publishers.select("tz").distinct().collect() if r[0]})
+    unknown = publishers.select(F.col("publisher").alias("source"), F.lit(None).cast("string").alias("tz"), F.lit(None).cast("string").alias("day_order"))
+    rules = source_rules(table(spark, d, "article_meta"), "publisher", ["published_date", "online_date"], "harvested_at", unknown, zones)
+    out = publishers.join(rules, F.col("publisher") == F.col("source"))
+    months = F.expr("sequence(timestamp_ntz'2008-01-01 12:00:00', timestamp_ntz'2023-12-01 12:00:00', interval 1 month)")
+    same = F.forall(months, lambda m: F.convert_timezone(F.col("zone"), F.lit("UTC"), m) == F.convert_timezone(F.col("tz"), F.lit("UTC"), m))
+    return out.select("publisher", F.col("tz").alias("declared"), same.alias("agrees"), (rules["day_order"] == publishers["day_order"]).alias("same_order"))
+
+
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
     return shred(table(spark, d, "raw_records"), "rec_id", "payload")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    children = ["peaks", "peaks/coupling", "compound", "compound/names", "compound/labels"]
-    return _shredded(spark, d).where(F.col("name").isin(children)).select("rec_id", "path").distinct()
+    children = ("peaks", "peaks/coupling", "compound", "compound/names", "compound/labels")
+    return child_paths(table(spark, d, "raw_records"), "rec_id", "payload", children).distinct()
 
 
 def p7_peaks(spark: SparkSession, d: str) -> DataFrame:
@@ -57,4 +70,4 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return flat_table(_shredded(spark, d), "rec_id", "", fields).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_values, p5_found, p5_moments, p7_found, p7_peaks, p7_records)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_values, p5_found, p5_moments, p5_zones, p7_found, p7_peaks, p7_records)}

@@ -5,8 +5,6 @@ Text is rendered from typed columns and read back; the SQL computes the answer f
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from spagyric.operators import resolve as R
 from spagyric.operators.relations import Snowball, cosine_column, relations
 from spagyric.operators.tagging import Perceptron, clauses, name_dictionary, regex_tagger
 from spagyric.operators.tokens import section_filter, sentences
-from spagyric.session import table
+from spagyric.session import shared_folder, table
 from spagyric.sources import biblio as B
 from spagyric.sources.readers import elements, metadata
 from spagyric.sources.scrape import DOCUMENT, Entity, Field, scrape
@@ -389,7 +387,7 @@ def streamed_event_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counts = counts_by_window(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "10 minutes").select(F.col("window.start").alias("start"), "event_type", "n")
     name = f"streamed_{abs(hash((d, id(schema))))}"
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spagyric-stream-")
+    where = shared_folder(spark, "streams")
     run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

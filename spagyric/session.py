@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPAGYRIC_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -30,16 +31,28 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
+def is_local(spark: SparkSession) -> bool:
+    """Whether all of the session is one process, so that its local folders are shared by all tasks."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
 
-    The folder is the one in ``spark.checkpoint.dir``, shared by all executors. Only where that
-    setting is absent (tests, one machine) a local folder is made.
-    """
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Only on one machine is a temporary one made where
+    that setting is absent; a cluster without it is an error, as its executors would write to folders of their own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not is_local(spark):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share ({purpose})")
+    return tempfile.mkdtemp(prefix="spagyric-")
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable. Files of checkpoints that nothing refers to any more are removed by Spark where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``local_session`` does."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spagyric-checkpoint-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(spark, "checkpoints"))
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
