@@ -80,6 +80,26 @@ def test_survivors(spark):
     assert V.survivors(mp.limit(0), sent, trust).count() == 0
 
 
+def test_dependency_changes_the_choice(spark):
+    """The most trusted record has a value without a unit: value and unit come from the one that has both."""
+    bit = {f: 1 << i for i, f in enumerate(V.FIELDS)}
+    rows = [(1, [{"fills": bit["raw_value"] | bit["names"], "key": (1, 0, 1)}, {"fills": bit["raw_value"] | bit["raw_units"], "key": (2, 0, 2)}, {"fills": bit["raw_units"], "key": (3, 0, 3)}])]
+    few = spark.createDataFrame(rows, "first_rec_id bigint, candidates array<struct<fills: int, key: struct<t: int, e: bigint, r: bigint>>>")
+    fields = lambda together: {r.field: r.rec_id for r in V.chosen(few, together).collect()}
+    assert fields(V.DEPENDENT) == {"quantity": 2, "names": 1}
+    assert fields(()) == {"quantity": 1, "names": 1}  # without the dependency the value has no unit
+
+
+def test_large_documents_are_grouped_alike(spark):
+    """Below and above the size up to which a document is grouped in one row."""
+    random.seed(11)
+    rows = [(d, 1000 * d + i, low := round(random.uniform(300, 330), 1), round(low + random.choice([0, 0, 0, 0.4, 3]), 1), random.sample(range(6), random.randint(1, 2))) for d in (1, 2) for i in range(90)]
+    points = spark.createDataFrame([*rows, *rows[:20]], "doc_id bigint, rec_id bigint, low double, high double, tokens array<bigint>")
+    shared_checkpoints(spark)
+    local, spread = ({(r.rec_id, r.first_rec_id) for r in V.duplicate_groups(points, most).collect()} for most in (10_000, 5))
+    assert local == spread and len(local) > 50
+
+
 def test_statements_against_all_pairs(spark):
     random.seed(7)
     pts = [(1, random.choice("ab"), i, low := round(random.uniform(300, 306), 1), round(low + random.choice([0, 0, 0.5, 2]), 1)) for i in range(120)]
