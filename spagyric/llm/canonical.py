@@ -1,11 +1,14 @@
 """Free-entered values mapped to the entries of a reference list.
 
-Values are cut into tokens. Each distinct token is joined to the vocabulary of the reference list by edit
-distance, over a join on deletion variants; the corrected tokens vote for the entries that hold them, by
-soft TF-IDF. The best entries are then held against the whole value: the value must be covered by one entry
-up to words that don't denote anything (grades, temperatures), typos and cut-off ends.
+Values and the forms of entries are read in two ways: as their words, and as one word without blanks and punctuation, so
+that a part written in two words, or two in one, makes no difference. Each distinct token is joined to the vocabulary of
+the reference list by edit distance, over a join on deletion variants; the corrected tokens are combined by
+soft TF-IDF, which ranks the forms that they cover token by token. The entry ranked first is what the value denotes, unless
+another comes as near as ``MARGIN``. A value that ends with a stop may be cut off, and then reads as any form that begins
+with it, at the price of ``CUT``.
 
-Only the reference list, which doesn't grow, is broadcast; values are handled once each and joined back.
+Words that don't denote anything (grades, temperatures) don't count. Everything is a join over distinct values and
+tokens; neither list is collected, and the index is broadcast only up to ``BROADCAST_INDEX`` rows.
 
 Defined cases: null values are no case, empty and blank ones denote nothing, values that denote several
 entries or none get 0 and are thus reported; repeated rows give one result.
@@ -15,19 +18,29 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spagyric.session import shared_checkpoints
+
 #: Words beside a solvent that don't tell which one it is.
 FILLERS = """
 in as solvent dry anhydrous abs absolute freshly fresh distilled redistilled degassed dried deoxygenated purified neat
 hplc grade reagent acs analytical spectroscopic technical pure commercial solution sol the a of at with using
 k c rt temp temperature room
 """.split()
-#: Tokens shorter than this, and tokens with digits, must match exactly.
+#: Words of fewer letters are right as they are: in abbreviations and formulas one letter makes another entry.
 SHORT = 5
+#: Score of a form that a cut-off value begins as written, and without words that denote nothing; score that is enough, and
+#: the lead that the first entry needs.
+CUT, CUT_CORE, ENOUGH, MARGIN = 0.98, 0.96, 0.7, 0.01
+#: What a slip in the first letter counts for more than another: slips seldom hit it.
+FIRST = 0.02
+#: Letters that tell what a cut-off value begins.
+BEGIN = 3
+#: An index of up to this many rows is broadcast.
+BROADCAST_INDEX = 1_000_000
 
 
 def folded(text: str) -> str:
@@ -69,10 +82,9 @@ def edits(a: str, b: str) -> int:
 
 
 def allowed(token: str) -> int:
-    """Edits a token may be off by."""
-    if len(token) < SHORT or any(c.isdigit() for c in token):
-        return 0
-    return 1 if len(token) < 7 else 2
+    """Edits a token may be off by; digits aren't letters and are never off."""
+    n = sum(c.isalpha() for c in token)
+    return 0 if n < SHORT else 1 if n < 7 else 2
 
 
 def enclosed(text: str) -> bool:
@@ -85,137 +97,131 @@ def enclosed(text: str) -> bool:
     return False
 
 
-class Reference:
-    """The reference list, prepared for matching."""
-
-    def __init__(self, entries: list[tuple[int, list[str]]]):
-        self.forms: list[tuple[str, frozenset[int]]] = []
-        of: dict[str, set[int]] = {}
-        for number, texts in entries:
-            for t in texts:
-                if t and t.strip():
-                    of.setdefault(t, set()).add(number)
-        self.exact: dict[str, set[int]] = {}
-        self.folded: dict[str, set[int]] = {}
-        self.by_token: dict[str, set[int]] = {}
-        self.forms = sorted((t, frozenset(n)) for t, n in of.items())
-        self.form_tokens = [tokens(t) for t, _ in self.forms]
-        for i, (t, numbers) in enumerate(self.forms):
-            self.exact.setdefault(t, set()).update(numbers)
-            self.folded.setdefault(letters(t), set()).update(numbers)
-            for x in self.form_tokens[i]:
-                self.by_token.setdefault(x, set()).add(i)
-        self.vocabulary = sorted(self.by_token)
-        n = len(self.forms)
-        self.idf = {x: float(np.log(1 + n / len(at))) for x, at in self.by_token.items()}
-        self.norm = [float(np.sqrt(sum(self.idf[x] ** 2 for x in ts))) or 1.0 for ts in self.form_tokens]
-
-    def rank(self, repaired: dict[str, list[tuple[str, float]]]) -> list[tuple[float, int]]:
-        """(soft TF-IDF, form), best first; repaired: token of the value -> (vocabulary word, closeness)."""
-        score: dict[int, float] = {}
-        weight = 0.0
-        for options in repaired.values():
-            if not options:
-                weight += 1.0
-                continue
-            top = max(self.idf[w] for w, _ in options)
-            weight += top**2
-            for w, close in options:
-                for i in self.by_token[w]:
-                    score[i] = max(score.get(i, 0.0), 0.0) + close * self.idf[w] ** 2
-        size = float(np.sqrt(weight)) or 1.0
-        return sorted(((s / (size * self.norm[i]), i) for i, s in score.items()), key=lambda x: (-x[0], x[1]))
-
-    def denotes(self, value: str, repair: dict[str, list[tuple[str, float]]]) -> int:
-        """The number of the entry that the value denotes, or 0."""
-        sole = lambda numbers: next(iter(numbers)) if len(numbers) == 1 else 0
-        if value in self.exact:
-            return sole(self.exact[value])
-        text = folded(value)
-        if letters(text) in self.folded:
-            return sole(self.folded[letters(text)])
-        text_as_written = text.rstrip("…")
-        text = re.sub(r"\b\d+(?:\.\d+)?\s?(?:k\b|°\s?c\b|%)|\(\s*\)", " ", text)
-        text = re.sub(r"\(\s*(?:" + "|".join(FILLERS) + r"|[\s,.])*\)", " ", text)
-        words = [w for w in re.split(r"[\s,;]+", text) if w and w.strip(".()") not in FILLERS]
-        core = " ".join(words).strip()
-        while core.startswith("(") and core.endswith(")") and enclosed(core):
-            core = core[1:-1].strip()
-        bare = letters(core.rstrip("."))
-        if bare in self.folded:
-            return sole(self.folded[bare])
-        if value.strip().endswith((".", "…")):
-            for start in (letters(text_as_written), bare):
-                begun = {n for form, numbers in self.folded.items() if len(start) >= 3 and form.startswith(start) for n in numbers}
-                if begun:
-                    return sole(begun)
-        if not bare:
-            return 0
-        ranked = self.rank({t: repair.get(t, []) for t in tokens(core)})
-        best: tuple[int, set[int]] = (99, set())
-        for score, i in ranked:
-            form = letters(self.forms[i][0])
-            if score < 0.4 or abs(len(form) - len(bare)) > 2 or re.findall(r"\d+", form) != re.findall(r"\d+", bare):
-                continue
-            most = 0 if len(form) < SHORT else 1 if len(self.forms[i][0]) < 10 else 2
-            d = edits(bare, form)
-            if d <= most:
-                d = 2 * d + (bare[0] != form[0])  # slips seldom hit the first character
-                best = (d, set(self.forms[i][1])) if d < best[0] else (d, best[1] | self.forms[i][1]) if d == best[0] else best
-        return sole(best[1])
-
-
-def repairs(values: DataFrame, reference: Reference) -> DataFrame:
-    """(token, options) of the distinct tokens in ``value``: vocabulary words within the allowed edits."""
-    spark = values.sparkSession
-    longest = max(map(len, reference.vocabulary), default=0)
-    known = [(w, v) for w in reference.vocabulary for v in _variants(w, allowed(w))]
-    index = spark.createDataFrame(known or [(None, None)], "word string, variant string")
-
-    def spread(batches):
-        for (v,) in ((b[c] for c in b.columns) for b in batches):
-            rows = {(t, x) for text in v for t in tokens(text) if len(t) <= longest + 2 for x in _variants(t, allowed(t))}
-            yield pd.DataFrame(list(rows), columns=["token", "variant"])
+def core(value: str) -> str:
+    """A folded value without words that denote nothing, conditions and brackets around the whole."""
+    text = re.sub(r"\b\d+(?:\.\d+)?\s?(?:k\b|°\s?c\b|%)|\(\s*\)", " ", folded(value))
+    text = re.sub(r"\(\s*(?:" + "|".join(FILLERS) + r"|[\s,.])*\)", " ", text)
+    text = " ".join(w for w in re.split(r"[\s,;]+", text) if w and w.strip(".()") not in FILLERS).strip()
+    while text.startswith("(") and text.endswith(")") and enclosed(text):
+        text = text[1:-1].strip()
+    return text
+
+
+def reach(token: str) -> int:
+    """Edits between a token and the longest word that it may be a slip of."""
+    n = sum(c.isalpha() for c in token)
+    return allowed("x" * (n + 2)) if allowed("x" * (n + 1)) else 0
+
+
+def readings(text: str, entered: bool = True) -> list[tuple[int, str]]:
+    """(reading, token). Reading 0 has words, 1 and 2 one word for all, with '=' in front, of the core and as written;
+    3 and 4 the begin of such a word, with '<' and '~'. entered: a value, of which a form is taken as it is."""
+    whole = folded(text)
+    bare = core(text).rstrip(".…") if entered else whole
+    joined = lambda x: letters(re.sub(r"\s+-+\s+", "/", x))
+    out = [(0, t) for t in tokens(bare)]
+    out += [(1 + i, "=" + x) for i, x in enumerate(dict.fromkeys((joined(bare), *([joined(whole)] if entered else [])))) if x]
+    if entered and text.strip().endswith((".", "…")):
+        out += [(3 + i, mark + x) for i, (mark, x) in enumerate((("<", joined(whole.rstrip("…"))), ("~", joined(bare)))) if len(x) >= BEGIN]
+    return out
+
 
-    def verify(batches):
+def closeness(token: str, word: str) -> float | None:
+    """How close a token is to a word of the vocabulary, None if it can't be a slip of it."""
+    if token[0] in "<~":
+        return (CUT if token[0] == "<" else CUT_CORE) if word.startswith("=" + token[1:]) else None
+    if token == word:
+        return 1.0
+    if re.findall(r"\d+", token) != re.findall(r"\d+", word):
+        return None
+    a, b = token.lstrip("="), word.lstrip("=")
+    d = edits(a, b)
+    return None if d > allowed(b) else 1 - d / max(len(a), len(b)) - FIRST * (a[0] != b[0])
+
+
+def _read(df: DataFrame, text: str, entered: bool) -> DataFrame:
+    """(text, reading, token, n, k), once each: n tokens in the reading, k of them different."""
+
+    def run(batches):
         for b in batches:
-            d = [edits(t, w) for t, w in zip(b["token"], b["word"])]
-            keep = [x <= min(allowed(w), allowed(t)) if x else True for x, t, w in zip(d, b["token"], b["word"])]
-            close = [1 - x / max(len(t), len(w)) for x, t, w in zip(d, b["token"], b["word"])]
-            yield b.assign(close=close)[keep][["token", "word", "close"]]
+            out = []
+            for t in b[text]:
+                found = readings(t, entered)
+                once = list(dict.fromkeys(found))
+                out += [(t, r, x, sum(r == q for q, _ in found), sum(r == q for q, _ in once)) for r, x in once]
+            yield pd.DataFrame(out, columns=[text, "reading", "token", "n", "k"])
 
-    seen = values.select("value").mapInPandas(spread, "token string, variant string").distinct()
-    pairs = seen.join(F.broadcast(index), "variant").select("token", "word").distinct()
-    return pairs.mapInPandas(verify, "token string, word string, close double").groupBy("token").agg(F.collect_set(F.struct("word", "close")).alias("options"))
+    return df.select(text).mapInPandas(run, f"{text} string, reading int, token string, n int, k int")
 
 
-def map_values(values: DataFrame, entries: DataFrame, number: str, forms: str) -> DataFrame:
-    """(value, entry) of the distinct non-null values; entry is 0 if a value denotes no single entry.
+def _spread(df: DataFrame, token: str, known: bool, longest: int) -> DataFrame:
+    """(token, variant): hashes of what a token has in common with tokens it may be a slip of. known: of the vocabulary,
+    whose words also have all their begins. Nothing within reach of tokens much longer than the longest word."""
 
-    entries: the reference list, (number, forms ARRAY<STRING>).
-    """
-    spark = values.sparkSession
-    reference = Reference([(r[0], list(r[1] or [])) for r in entries.select(number, forms).collect()])
-    distinct = values.select("value").where("value is not null").distinct()
-    words = distinct.select("value", F.monotonically_increasing_id().alias("_v"))
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b[token]:
+                mark, bare = (t[0], t[1:]) if t[0] in "=<~" else ("", t)
+                if mark in ("<", "~"):
+                    rows.append((t, "<" + bare))
+                    continue
+                if len(bare) > longest + 2:
+                    continue
+                rows += [(t, mark + v) for v in _variants(bare, allowed(bare) if known else reach(bare))]
+                if known and mark:
+                    rows += [(t, "<" + bare[:i]) for i in range(BEGIN, len(bare) + 1)]
+            yield pd.DataFrame(rows, columns=[token, "_v"])
+
+    return df.select(token).mapInPandas(run, f"{token} string, _v string").select(token, F.xxhash64("_v").alias("variant"))
+
+
+def repairs(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, word, close) of the distinct tokens in ``seen``: words of the vocabulary within the allowed edits."""
+    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
+    index = _spread(vocabulary, "word", True, longest).distinct().checkpoint()
+    small = index.count() <= BROADCAST_INDEX
 
-    def cut(batches):
+    def verify(batches):
         for b in batches:
-            yield pd.DataFrame([(v, t) for v in b["value"] for t in (set(tokens(v)) or {""})], columns=["value", "token"])
+            out = b.assign(close=pd.Series([closeness(t, w) for t, w in zip(b["token"], b["word"])], index=b.index, dtype="float64"))
+            yield out[out["close"].notna()]
 
-    held = words.select("value").mapInPandas(cut, "value string, token string")
-    repaired = held.join(repairs(distinct, reference), "token", "left").groupBy("value").agg(F.collect_list(F.struct("token", "options")).alias("repair"))
-    shared = spark.sparkContext.broadcast(reference)
+    pairs = _spread(seen, "token", False, longest).join(F.broadcast(index) if small else index, "variant").select("token", "word").distinct()
+    return pairs.mapInPandas(verify, "token string, word string, close double")
 
-    def decide(batches):
-        for b in batches:
-            out = []
-            for v, repair in zip(b["value"], b["repair"]):
-                options = {r["token"]: [(o["word"], o["close"]) for o in r["options"]] if r["options"] is not None else [] for r in repair}
-                out.append(shared.value.denotes(v, options))
-            yield pd.DataFrame({"value": b["value"], "entry": out})
 
-    return repaired.mapInPandas(decide, "value string, entry int")
+def ranked(values: DataFrame, forms: DataFrame) -> DataFrame:
+    """(value, entry, score) of all entries one of whose forms a value covers: each of its tokens is close to one of the
+    form's and each of the form's to one of its. score: soft TF-IDF of the best form.
+
+    values: (value) distinct; forms: (entry, text).
+    """
+    texts = forms.select("text").distinct()
+    held = _read(texts, "text", False).selectExpr("text", "token as word", "n as m", "k as j").checkpoint()
+    total = texts.count()
+    weight = held.groupBy("word").agg(F.count_distinct("text").alias("df")).select("word", F.pow(F.log(1 + F.lit(total) / F.col("df")), 2).alias("idf2"))
+    read = _read(values, "value", True).checkpoint()
+    close = repairs(read.select("token").distinct(), held.select("word").distinct())
+    met = read.join(close, "token").join(weight, "word").join(held.select("word", "text", "m", "j"), "word")
+    per = met.groupBy("value", "reading", "text").agg((F.sum(F.col("close") * F.col("idf2")) / F.sum("idf2")).alias("score"), F.count_distinct("token").alias("tokens"), F.count_distinct("word").alias("words"), *(F.max(c).alias(c) for c in "nkmj"))
+    covered = per.where("tokens = k and words = j and n = m")
+    return covered.join(forms.distinct(), "text").groupBy("value", "entry").agg(F.max("score").alias("score"))
+
+
+def map_values(values: DataFrame, entries: DataFrame, number: str, forms: str) -> DataFrame:
+    """(value, entry) of the distinct non-null values; entry is 0 if a value denotes no single entry.
+
+    entries: the reference list, (number, forms ARRAY<STRING>).
+    """
+    shared_checkpoints(values.sparkSession)
+    distinct = values.select("value").where("value is not null").distinct().checkpoint()
+    listed = entries.select(F.col(number).alias("entry"), F.explode(forms).alias("text")).where("trim(text) <> ''")
+    rank = ranked(distinct, listed)
+    first = rank.groupBy("value").agg(F.max("score").alias("top"))
+    near = rank.join(first, "value").where(F.col("score") > F.col("top") - MARGIN)
+    sole = near.where(F.col("top") >= ENOUGH).groupBy("value").agg(F.count("*").alias("k"), F.max_by("entry", "score").alias("entry")).where("k = 1")
+    return distinct.join(sole.select("value", "entry"), "value", "left").select("value", F.coalesce("entry", F.lit(0)).alias("entry"))
 
 
 def solvent_mapping(records: DataFrame, solvents: DataFrame) -> DataFrame:
@@ -224,7 +230,7 @@ def solvent_mapping(records: DataFrame, solvents: DataFrame) -> DataFrame:
     records: (rec_id, solvent). Values are mapped once each; hot values meet a join that can be split.
     """
     rows = records.select("rec_id", F.col("solvent").alias("value")).where("value is not null").distinct()
-    odd = rows.join(F.broadcast(solvents.select(F.col("name").alias("value"))), "value", "left_anti")
+    odd = rows.join(solvents.select(F.col("name").alias("value")), "value", "left_anti")  # broadcast by Spark if it is small
     forms = solvents.select("solvent_id", F.array_compact(F.concat(F.array("name", "formula"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("forms"))
     mapped = map_values(odd, forms, "solvent_id", "forms")
     return odd.join(mapped, "value").select("rec_id", F.col("entry").alias("solvent_id")).distinct()

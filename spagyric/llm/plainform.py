@@ -1,27 +1,30 @@
 """Text that looks alike, brought to one form.
 
-Code points and strings that look alike or are equivalent are joined by union-find into transitive classes
-(a full-width form with the letter it stands for, a letter with an accent behind it with the precomposed
-one, letters of different scripts of one shape, everything invisible with the empty string). For every
-class and script the representative is its most frequent member in the corpus that is plain in that script.
-A multi-pattern automaton finds the members of all classes in a text, the longest at each place, and each is
-replaced by its class's representative in the script of its word.
+Two relations are closed to classes by union-find. Equivalent are code points and strings that are the same text: a
+full-width form and its letter, a letter with an accent behind it and the precomposed one, a ligature and its letters,
+anything invisible and the empty string. Look-alike are letters of one shape in different scripts, by Unicode's
+skeletons of confusable characters (from the library that Spark brings along) and a list of letters. Of each class the
+representative, for look-alikes one for each script, is its most frequent plain member in the corpus. A multi-pattern
+automaton finds the members of the equivalence classes in a text, the longest at each place, and writes the
+representative; then each letter of a word becomes its class's representative in the word's own script.
 
 The corpus gives only counts of code points, at most as many as Unicode has; no texts are collected.
 
 Defined cases: null and empty texts stay as they are, texts of any length are rewritten whole, a mixed word
-belongs to the script of most of its letters that look like no other script's, else to Latin, superscripts, subscripts and primes stay.
+belongs to the script of most of its letters that look like no other script's, else to Latin, superscripts, subscripts and
+primes stay.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,17 +75,18 @@ LOCANTS = "αβγδωμ"
 #: Hyphens besides those that Unicode calls dash punctuation.
 HYPHENS = "−⁃"
 
+#: Strokes between the parts of a fraction.
+STROKES = "⁄∕"
+#: Marks whose skeletons may stand for them, as quotes, primes and dots may not.
+MARKS = ",.;:/()[]{}<>=+!?&%"
+
 _WORD = re.compile(r"(?:(?![²³¹⁰-₟])[^\W\d_])+")
-_SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 
 
 @lru_cache(maxsize=65536)
 def script_of(c: str) -> str | None:
-    """The script of a letter, by its Unicode name; None for other characters."""
-    if not c.isalpha():
-        return None
-    name = unicodedata.name(c, "")
-    return next((s for s in _SCRIPTS if name.startswith(s)), "OTHER")
+    """The script of a letter, the first word of its Unicode name; None for other characters."""
+    return unicodedata.name(c, "OTHER").partition(" ")[0] if c.isalpha() else None
 
 
 def invisible(c: str) -> bool:
@@ -98,14 +102,21 @@ def equivalent(c: str) -> str | None:
         return " " if c != " " else None
     if kind == "Pd" or c in HYPHENS:
         return "-" if c != "-" else None
+    if c in STROKES:
+        return "/"
     compat = unicodedata.decomposition(c)
     if compat.startswith(("<super>", "<sub>")) or c == "″":
         return None
     full = unicodedata.normalize("NFKC", c)
-    full = "".join("-" if unicodedata.category(x) == "Pd" else " " if x.isspace() else x for x in full)
+    full = "".join("-" if unicodedata.category(x) == "Pd" else " " if x.isspace() else "/" if x in STROKES else x for x in full)
     return full if full != c else None
 
 
+def phonetic(c: str) -> bool:
+    """Latin letters of phonetic alphabets, and signs kept apart for old encodings; they are never plain."""
+    return "ɐ" <= c <= "ʯ" or "ᴀ" <= c <= "ᶿ" or c in "ßµ"
+
+
 class Classes:
     """Union-find over strings; a member's class is known by its root."""
 
@@ -124,58 +135,86 @@ class Classes:
         if x != y:
             self.parent[max(x, y)] = min(x, y)
 
+    def members(self) -> list[list[str]]:
+        out: dict[str, list[str]] = {}
+        for x in list(self.parent):
+            out.setdefault(self.find(x), []).append(x)
+        return list(out.values())
+
+
+def frequency(x: str, counts: dict[str, int]) -> int:
+    """How often a string can occur at most."""
+    return min((counts.get(c, 0) for c in x), default=0)
 
-def classes(counts: dict[str, int]) -> dict[str, dict[str, str]]:
-    """member -> {script: representative} for every member that isn't plain everywhere.
 
-    counts: how often each code point occurs in the corpus.
-    """
+def equivalences(counts: dict[str, int]) -> dict[str, str]:
+    """member -> representative of every string that isn't plain regardless of its word."""
     sets = Classes()
-    for line in LOOK_ALIKES.strip().split("\n"):
-        first, *rest = line.split()
-        for x in rest:
-            sets.union(first, x)
     marks = [c for c in counts if unicodedata.combining(c)]
     for c in counts:
         if (to := equivalent(c)) is not None:
-            sets.union(c, to) if len(to) == 1 or not to else sets.find(c)
+            sets.union(c, to)
         for m in marks:
             whole = unicodedata.normalize("NFC", c + m)
             if len(whole) == 1 and whole != c:
                 sets.union(c + m, whole)
-    groups: dict[str, list[str]] = {}
-    for x in list(sets.parent):
-        groups.setdefault(sets.find(x), []).append(x)
-    rules: dict[str, dict[str, str]] = {}
-    for members in groups.values():
-        plain = [x for x in members if len(x) == 1 and equivalent(x) is None and (script_of(x) != "LATIN" or x.isascii() or unicodedata.decomposition(x) or x not in "ɑɣßµ")]
+    out: dict[str, str] = {}
+    for members in sets.members():
+        plain = [x for x in members if all(equivalent(c) is None and not unicodedata.combining(c) for c in x)]
+        best = min(plain, key=lambda x: (-frequency(x, counts), x), default=None)
+        out |= {x: best for x in members if best is not None and x not in plain}
+    return out
+
+
+def look_alikes(counts: dict[str, int], skeletons: dict[str, str] | None = None) -> dict[str, dict[str, str]]:
+    """letter -> {script: representative} of every letter that looks like another, and mark -> {'': representative}."""
+    sets = Classes()
+    for line in LOOK_ALIKES.strip().split("\n"):
+        first, *rest = line.split()
+        for x in rest:
+            sets.union(first, x)
+    shapes: dict[tuple, list[str]] = {}
+    for c, shape in (skeletons or {}).items():
+        if c.isalpha() and c not in LOCANTS and equivalent(c) is None and not unicodedata.decomposition(c):
+            shapes.setdefault((shape, c.isupper()), []).append(c)
+        elif not c.isalnum() and shape in MARKS and c not in MARKS and equivalent(c) is None:
+            sets.union(c, shape)
+    for same in shapes.values():
+        for c in same[1:]:
+            sets.union(same[0], c)
+    out: dict[str, dict[str, str]] = {}
+    for members in sets.members():
         best: dict[str, str] = {}
-        if "" in members:
-            best = dict.fromkeys((*_SCRIPTS, "OTHER"), "")
-        else:
-            for x in sorted(plain, key=lambda x: (-counts.get(x, 0), x)):
-                for s in [script_of(x)] if script_of(x) else (*_SCRIPTS, "OTHER"):
-                    best.setdefault(s, x)
-        for x in members:
-            if len(members) > 1:
-                rules[x] = best
-    for c in counts:  # compatibility forms of several characters
-        if (to := equivalent(c)) is not None and len(to) > 1:
-            rules[c] = dict.fromkeys((*_SCRIPTS, "OTHER"), to)
-    return rules
+        for x in sorted(members, key=lambda x: (-counts.get(x, 0), x)):
+            if not phonetic(x) and equivalent(x) is None:
+                best.setdefault(script_of(x) or "", x)
+        best = {"": min(members)} if "" in best else best
+        out |= {x: best for x in members if len(members) > 1}
+    return out
+
+
+def classes(counts: dict[str, int], skeletons: dict[str, str] | None = None) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
+    """The rules of a corpus, out of how often each code point occurs in it: ``equivalences`` and ``look_alikes``."""
+    plain = equivalences(counts)
+    after = dict(counts)
+    for member, to in plain.items():  # what will stand in the texts
+        for c in to:
+            after[c] = after.get(c, 0) + frequency(member, counts)
+    return plain, look_alikes(after, skeletons)
 
 
 class Rewriter:
     """Rewrites texts by the rules of ``classes``."""
 
-    def __init__(self, rules: dict[str, dict[str, str]]):
-        self.rules = rules
+    def __init__(self, rules: tuple[dict[str, str], dict[str, dict[str, str]]]):
+        self.plain, self.alike = rules
         self.machine = ahocorasick.Automaton()
-        for member in rules:
+        for member in self.plain:
             if member:
                 self.machine.add_word(member, member)
         self.machine.make_automaton() if len(self.machine) else None
-        self.locant = {x: best["GREEK"] for x, best in rules.items() if x in "ɑßµɣ" and "GREEK" in best}
+        self.marks = str.maketrans({c: best[""] for c, best in self.alike.items() if "" in best})
+        self.locant = {x: best["GREEK"] for x, best in self.alike.items() if phonetic(x) and best.get("GREEK", "?") in LOCANTS}
 
     def matches(self, text: str) -> list[tuple[int, str]]:
         """(start, member), leftmost and longest, without overlap."""
@@ -197,19 +236,22 @@ class Rewriter:
         """First what is equivalent regardless of its word, then look-alikes by the script of their word."""
         if text.isascii() and not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text):
             return text
-        out, at = [], 0
-        for start, member in self.matches(text):
-            best = self.rules[member]
-            always = best.get("LATIN") if len(set(best.values())) == 1 and len(best) == 4 else None
-            if always is None and len(member) > 1:
-                always = unicodedata.normalize("NFC", member)
-            if always is None and equivalent(member) is not None and member not in self.locant:
-                always = equivalent(member)
-            out += [text[at:start], member if always is None else always]
-            at = start + len(member)
-        text = unicodedata.normalize("NFC", "".join([*out, text[at:]]))
+        while True:
+            out, at = [], 0
+            for start, member in self.matches(text):
+                out += [text[at:start], self.keep(text, start, member)]
+                at = start + len(member)
+            new = unicodedata.normalize("NFC", "".join([*out, text[at:]]))
+            if new == text:
+                break
+            text = new
+        text = text.translate(self.marks) if self.marks else text
         return unicodedata.normalize("NFC", _WORD.sub(lambda m: self._word(m[0], m.string, m.end()), text))
 
+    def keep(self, text: str, start: int, member: str) -> str:
+        """The representative of a member of an equivalence class; letters whose word decides are left to it."""
+        return member if member in self.locant else self.plain[member]
+
     def _word(self, word: str, text: str, end: int) -> str:
         if word.isascii():
             return word
@@ -218,13 +260,13 @@ class Rewriter:
                 return word
             if word in self.locant and text[end : end + 1] in ("-", "", ","):
                 return self.locant[word]
-            best = self.rules.get(word, {})
-            return best.get("LATIN", word)
+            return self.alike.get(word, {}).get("LATIN", word)
         scripts = [script_of(c) for c in word]
-        if len(set(scripts)) == 1:
+        kinds = set(scripts)
+        if len(kinds) == 1 and not any(map(phonetic, word)):
             return word
-        own = max(_SCRIPTS, key=lambda s: (sum(x == s and len(self.rules.get(c, {})) < 2 for c, x in zip(word, scripts)), s == "LATIN"))
-        return "".join(c if s == own or s == "OTHER" else self.rules.get(c, {}).get(own, c) for c, s in zip(word, scripts))
+        own = max(sorted(kinds), key=lambda s: (sum(x == s and len(self.alike.get(c, {})) < 2 for c, x in zip(word, scripts)), s == "LATIN"))
+        return "".join(c if s == own and not (phonetic(c) and c not in "ßµ") else self.alike.get(c, {}).get(own, c) for c, s in zip(word, scripts))
 
 
 def code_points(texts: DataFrame, text: str) -> dict[str, int]:
@@ -233,14 +275,33 @@ def code_points(texts: DataFrame, text: str) -> dict[str, int]:
     return {r[0]: r[1] for r in points.collect()}
 
 
+def skeletons(spark: SparkSession, points: Iterable[str]) -> dict[str, str]:
+    """The skeleton of each letter and mark by Unicode's data on confusable characters, and of the ASCII ones. Empty
+    where the library can't be reached from the driver: then the list of letters is all that is known."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return {}
+    checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    wanted = {c for c in points if not c.isascii() and (c.isalpha() or unicodedata.category(c)[0] in "PS")} | {chr(i) for i in range(33, 127)}
+    return {c: checker.getSkeleton(c) for c in sorted(wanted)}
+
+
+_rewriters: dict[int, Rewriter] = {}
+
+
 def rewriter(texts: DataFrame, text: str):
     """The corpus's rewriter as a function of columns of strings."""
-    rules = classes(code_points(texts, text))
-    shared = texts.sparkSession.sparkContext.broadcast(rules)  # bounded by Unicode
+    spark = texts.sparkSession
+    counts = code_points(texts, text)
+    rules = classes(counts, skeletons(spark, counts))
+    shared = spark.sparkContext.broadcast(rules)  # bounded by Unicode
 
     @F.pandas_udf(T.StringType())
     def plain(s: pd.Series) -> pd.Series:
-        rewrite = Rewriter(shared.value)
+        key = id(shared.value)  # one a worker
+        if key not in _rewriters:
+            _rewriters[key] = Rewriter(shared.value)
+        rewrite = _rewriters[key]
         return s.map(lambda x: None if x is None else rewrite(x))
 
     return plain

@@ -136,6 +136,15 @@ def test_canonical_values(spark, sf):
     assert C.solvent_mapping(df.limit(0), table(spark, sf, "solvents")).count() == 0
 
 
+def test_canonical_values_are_ranked(spark):
+    """Entries are ranked by their corrected tokens; a reordered value is no further off, and one that two
+    entries cover as well denotes neither."""
+    forms = spark.createDataFrame([(1, ["dimethyl sulfoxide-d6"]), (2, ["dimethyl sulfoxide"]), (3, ["diethyl ether", "ether"]), (4, ["ethanol"]), (5, ["methanol"]), (6, ["heavy water"]), (7, [None, " "])], "number int, forms array<string>")
+    cases = {"d6-dimethyl sulfoxide": 1, "dimetyl sulfoxyde": 2, "dimethylsulfoxide": 2, "ether": 3, "ethano": 4, "heay watr": 6, "methanol ethanol": 0, "ethanol / ether": 0, "dimethyl": 0, "dimeth.": 0, "dimethyl sulfoxide-": 2, "Xthanol": 4}
+    got = {r.value: r.entry for r in C.map_values(spark.createDataFrame([(v,) for v in cases], "value string"), forms, "number", "forms").collect()}
+    assert got == cases
+
+
 @pytest.mark.parametrize(
     "name,key",
     [

@@ -31,6 +31,17 @@ def test_plain_form(text, plain):
     assert rewriter(text)(text) == plain
 
 
+def test_look_alikes_of_all_scripts(spark):
+    """Letters of scripts in no list, by Unicode's skeletons; the representative is the corpus's most frequent member."""
+    texts = ["Ꭺspirin", "օxide", "1‚2-diol", "½", "ɡlucose", "γ-x", "Страница"]
+    counts = Counter("".join(texts))
+    rewrite = P.Rewriter(P.classes(counts, P.skeletons(spark, counts)))
+    assert [rewrite(t) for t in texts] == ["Aspirin", "oxide", "1,2-diol", "1/2", "glucose", "γ-x", "Страница"]
+    shapes = {"l": "l", "ı": "l", "ӏ": "l", "ǀ": "l"}
+    assert {P.look_alikes({a: 5, b: 9}, shapes)["ӏ"]["LATIN"] for a, b in (("l", "ı"), ("ı", "l"))} == {"l", "ı"}
+    assert P.Rewriter(P.classes(counts))("Ꭺspirin") == "Ꭺspirin"  # without the skeletons only the list is known
+
+
 def test_plain_form_is_stable():
     random.seed(5)
     chars = "abcАВСаеорсοΡ́​ -‐①ﬁ𝐚ｚßµα123 кил"
