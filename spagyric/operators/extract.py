@@ -1,9 +1,9 @@
 """Records out of sentences and tables, for all models of a query in one pass.
 
 Sentences without any trigger word of the models are dropped by a Catalyst filter before Python. The others are
-tokenised and tagged once; each model then looks for its entities (specifier, value with unit, compound, label)
-and combines them: by the orders in which they stand (templates), pairwise where lists meet ('respectively'),
-else each value with its nearest specifier and compound.
+tokenised and tagged once. Quantities of all models are found together, so that each value goes to one property and one
+compound (see ``assign``); every other model is read by its own parser: built-in ones for compounds, spectra and instruments,
+``FieldParser`` for models whose fields have patterns, and whatever parsers are passed.
 
 A record is a row (keys, rec_idx, model, method, payload JSON, confidence). Null and empty sentences and those
 without values give no rows.
@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spagyric.operators.assign import Mention, assigned, shared_heads
 from spagyric.operators.grammar import trigger_column
-from spagyric.operators.tagging import chemical_tags, spans_of
+from spagyric.operators.parsers import FieldParser, Sentence, Tokenizer, patterned
+from spagyric.operators.tagging import Tagger, chemical_tags, spans_of
 from spagyric.operators.tokens import word_spans
 from spagyric.spec import units as U
 from spagyric.spec.models import Model
@@ -29,7 +31,8 @@ RECORD = "rec_idx int, model string, method string, payload string, confidence m
 
 _NUM = r"[-–−+]?\d+(?:[.,]\d+)*(?:\s*[×x]\s*10\s*\^?\s*[-–−]?\d+)?"
 _ERROR = r"(?:\s*±\s*\d+(?:\.\d+)?|\(\d+\))?"
-VALUE = rf"(?:[~<>≈≥≤]\s*|(?:ca\.?|about|approximately|around)\s+)?{_NUM}{_ERROR}(?:\s*(?:-|–|−|—|to|and|\.\.)\s*{_NUM}{_ERROR})?"
+VALUE = rf"(?:[~<>≈≥≤]\s*|(?:ca\.?|about|approximately|around)\s+)?{_NUM}{_ERROR}(?:\s*(?:-|–|−|—|to|\.\.)\s*{_NUM}{_ERROR})?"
+VALUE = rf"(?:(?<=between ){_NUM}{_ERROR}\s+and\s+{_NUM}{_ERROR}|{VALUE})"
 
 
 def unit_pattern(dimension: U.Dimension | None) -> str:
@@ -55,12 +58,12 @@ _LABELLED = re.compile(rf"(?:\b(?:compounds?|complex(?:es)?|ligands?|products?|d
 ROLES = ("product", "intermediate", "starting material", "ligand", "precursor", "solvent", "catalyst", "standard", "title compound")
 
 
-def compounds(text: str) -> list[dict]:
+def compounds(sentence: str | Sentence) -> list[dict]:
     """{names, labels, roles, start, end} of the compounds in a sentence; a label behind a name belongs to it."""
-    spans = word_spans(text)
-    ws = [w for w, _, _ in spans]
+    sentence = Sentence(sentence) if isinstance(sentence, str) else sentence
+    text, spans = sentence.text, sentence.spans
     out = []
-    for a, b in spans_of(ws, chemical_tags(ws)):
+    for a, b in spans_of([w for w, _, _ in spans], sentence.chemical):
         out.append({"names": [text[spans[a][1] : spans[b - 1][2]]], "labels": [], "roles": [], "start": spans[a][1], "end": spans[b - 1][2]})
     for m in _LABELLED.finditer(text):
         label = m["a"] or m["b"]
@@ -81,45 +84,56 @@ def _compound(c: dict | None) -> dict | None:
     return None if c is None else {k: sorted(set(c[k])) for k in ("names", "labels", "roles") if c[k]}
 
 
-def quantities(text: str, model: Model, found: list[dict] | None = None, specifiers: list[str] | None = None) -> Iterator[tuple[str, dict, float]]:
-    """(method, record, confidence) of a quantity model in a sentence.
+def _specifiers(text: str, model: Model, defined: list[str]) -> list[Mention]:
+    spec = model["specifier"].pattern
+    whole = "|".join(x for x in (spec, *map(re.escape, defined)) if x)
+    if not whole:
+        return []
+    out = [Mention(m.start(), m.end(), m[0], (model.name,)) for m in re.finditer(rf"(?<![\w])(?:{whole})(?![\w])", text)]
+    return out + [Mention(a, b, phrase, (model.name,)) for a, b, phrase in shared_heads(text, re.compile(whole))] if " and " in text or " or " in text else out
+
+
+def _values(text: str, model: Model) -> list[Mention]:
+    """The values that a model can take; those of a list may share the unit of its last."""
+    values = [Mention(m.start("value"), m.end(), m["value"].strip(), (model.name,), (m.groupdict().get("units") or "").strip().rstrip(".")) for m in quantity_scanner(model).finditer(text)]
+    if model.dimension == U.DIMENSIONLESS or not values:
+        return values
+    first = values[0].start
+    shared = [m for m in re.finditer(rf"(?<![\w.,]){_NUM}{_ERROR}(?=(?:\s*,|\s+and)\s)", text[:first]) if re.fullmatch(r"[\s,]*(?:and\s+)?(?:[\d.,\s]|and)*", text[m.end() : first])]
+    return [Mention(m.start(), m.end(), m[0], (model.name,), values[0].unit) for m in shared] + values
+
 
-    specifiers: what the document has defined as names of the property besides the model's own.
+def quantities(text: str, models: Model | list[Model], found: list[dict] | None = None, specifiers: dict[str, list[str]] | None = None) -> Iterator[tuple[str, str, dict, float]]:
+    """(model, method, record, confidence) of the quantity models in a sentence, each value for one of them.
+
+    specifiers: by model, what the document has defined as names of the property besides the model's own.
     """
-    spec = model["specifier"].pattern
-    extra = "|".join(map(re.escape, specifiers or ()))
-    named = [(m.start(), m.end(), m[0]) for m in re.finditer(rf"(?<![\w])(?:{'|'.join(x for x in (spec, extra) if x)})(?![\w])", text)] if spec or extra else []
-    if spec and not named:
-        return
-    values = [(m.start(), m.end(), m["value"].strip(), (m.groupdict().get("units") or "").strip().rstrip(".")) for m in quantity_scanner(model).finditer(text)]
-    # a list of values may share the unit of its last
-    if model.dimension not in (None, U.DIMENSIONLESS) and values:
-        first = values[0][0]
-        shared = [(m.start(), m.end(), m[0]) for m in re.finditer(rf"(?<![\w.,]){_NUM}{_ERROR}(?=(?:\s*,|\s+and)\s)", text) if m.end() <= first and re.fullmatch(r"[\s,]*(?:and\s+)?(?:[\d.,\s]|and)*", text[m.end() : first])]
-        values = [(a, b, v, values[0][3]) for a, b, v in shared] + values
+    models = [models] if isinstance(models, Model) else models
+    by = {m.name: m for m in models}
+    specs = [x for m in models for x in _specifiers(text, m, (specifiers or {}).get(m.name, []))]
+    named = {n for s in specs for n in s.models}
+    able = [m for m in models if m.name in named or not (m["specifier"].pattern or (specifiers or {}).get(m.name))]
+    values = [v for m in able for v in _values(text, m)]
     if not values:
         return
-    cems = [c for c in (compounds(text) if found is None else found) if not any(a <= c["start"] < b for a, b, *_ in [*values, *named])]
-    paired = len(values) > 1 and ("respectively" in text or len(cems) == len(values))
-    for i, (a, b, value, unit) in enumerate(values):
-        s = min(named, key=lambda x: (abs(a - x[1]) if x[1] <= a else 1.5 * abs(x[0] - b))) if named else None
-        if paired and len(named) == len(values):
-            s = named[i]
-        if paired and len(cems) == len(values):
-            c = cems[i]
-        else:
-            anchor = s or (a, b, "")
-            lo, hi = min(anchor[0], a), max(anchor[1], b)
-            rank = lambda c: (min(abs(lo - c["end"]), abs(c["start"] - hi)) if not lo <= c["start"] <= hi else 0, c["start"])
-            c = min(cems, key=rank) if cems else None
-        record = {"raw_value": value, "raw_units": unit or None, "specifier": s[2] if s else None}
-        if c is not None:
-            record["compound"] = _compound(c)
-        unit_ = U.parse_unit(unit, model.dimension) if unit else None
-        record["units"] = str(unit_) if unit_ else None
-        near = s is not None and (0 <= a - s[1] <= 25 or 0 <= s[0] - b <= 25)
-        method = "template" if near and c is not None and len(values) == 1 else "auto_sentence"
-        yield method, {k: v for k, v in record.items() if v is not None}, 1.0 if method == "template" else round(1 / (1 + abs(a - (s[1] if s else a)) / 50), 3)
+    united = [v for v in values if v.unit]  # a number with a unit isn't one without
+    values = [v for v in values if v.unit or not any(u.start <= v.start < u.end for u in united)]
+    cems = [Mention(c["start"], c["end"], "", compound=c) for c in (compounds(text) if found is None else found)]
+    rows = assigned(text, specs, values, cems)
+    given = {(v.start, v.end) for _, _, _, v, _ in rows}
+    for m in able:
+        if not m["specifier"].pattern:  # a model of any quantity takes what no property claims
+            free = [c for c in cems if not any(v.start <= c.start < v.end for v in values)]
+            for v in values:
+                if m.name in v.models and (v.start, v.end) not in given:
+                    near = min(free, key=lambda c: (min(abs(v.start - c.end), abs(c.start - v.end)), c.start), default=None)
+                    rows.append(("auto_sentence", m.name, None, v, near))
+    for method, name, s, v, c in rows:
+        model = by[name]
+        unit = U.parse_unit(v.unit, model.dimension) if v.unit else None
+        record = {"raw_value": v.text, "raw_units": v.unit or None, "specifier": s.text if s else None, "compound": _compound(c.compound) if c else None, "units": str(unit) if unit else None}
+        far = 0 if s is None else max(v.start - s.end, s.start - v.end, 0)
+        yield name, method, {k: x for k, x in record.items() if x}, 1.0 if method == "template" else round(1 / (1 + far / 50), 3)
 
 
 # --- spectra and instruments ---------------------------------------------------------------------------------------
@@ -228,62 +242,89 @@ def defined_specifiers(text: str, models: list[Model]) -> dict[str, list[str]]:
 
 
 def with_definitions(sentences: DataFrame, doc: str, order: list[str], models: list[Model], text: str = "text") -> DataFrame:
-    """Adds ``specifiers``, an ARRAY of 'model=symbol' that the document has defined up to each sentence. Only
-    sentences that define something are looked at in Python; the rest is a window over short texts."""
-    from pyspark.sql import Window
+    """Adds ``specifiers``, an ARRAY of 'model=symbol' that the document has defined up to each sentence. Only sentences that
+    define something are looked at in Python and gathered by document: distinct symbols with the first place of each, which
+    are joined to the document's sentences."""
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else [f"{m}={y}" for m, ys in defined_specifiers(x, models).items() for y in ys])
+        return s.map(lambda x: [f"{m}={y}" for m, ys in defined_specifiers(x, models).items() for y in ys])
 
-    told = F.when(F.col(text).rlike(r"(?:temperature|point|range|energ|distance|length|number)"), F.col(text))
-    w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return sentences.withColumn("_own", run(told)).withColumn("specifiers", F.array_sort(F.array_distinct(F.flatten(F.collect_list("_own").over(w))))).drop("_own")
+    place = F.struct(*order)
+    telling = sentences.where(F.col(text).rlike(r"(?:temperature|point|range|energ|distance|length|number)") & F.col(doc).isNotNull())
+    told = telling.select(doc, place.alias("_at"), F.explode(run(text)).alias("_s")).groupBy(doc, "_s").agg(F.min("_at").alias("_at"))
+    known = told.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_s", "_at"))).alias("_known"))  # the symbols of one document
+    up_to = F.filter("_known", lambda k: k["_at"] <= place)
+    return sentences.join(known, doc, "left").withColumn("specifiers", F.coalesce(F.transform(up_to, lambda k: k["_s"]), F.array().cast("array<string>"))).drop("_known")
 
 
-def sentence_records(text: str, models: list[Model], specifiers: dict[str, list[str]] | None = None) -> Iterator[tuple[str, str, dict, float]]:
-    """(model, method, record, confidence) of everything in one sentence; equal records come once."""
-    found = compounds(text)
+def with_abbreviations(sentences: DataFrame, doc: str, definitions: DataFrame) -> DataFrame:
+    """Adds ``abbreviations``, a MAP of the short forms that a document defines to their long forms."""
+    known = definitions.where(F.col(doc).isNotNull()).groupBy(doc, "short").agg(F.min("long").alias("long"))
+    known = known.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("short", "long"))).alias("abbreviations"))  # of one document
+    return sentences.join(known, doc, "left")
+
+
+def is_quantity(model: Model) -> bool:
+    return model.dimension is not None and any(f.name == "specifier" for f in model.fields)
+
+
+def sentence_records(text: str, models: list[Model], specifiers: dict[str, list[str]] | None = None, parsers: list = (), tokenizer: Tokenizer = word_spans, tagger: Tagger = chemical_tags, abbreviations: dict[str, str] | None = None) -> Iterator[tuple[str, str, dict, float]]:
+    """(model, method, record, confidence) of everything in one sentence; equal records come once. parsers: any objects as
+    in ``parsers``, besides the built-in ones of the models."""
+    chemical = {s: x for s, x in (abbreviations or {}).items() if "B-CM" in tagger([w for w, _, _ in tokenizer(x)])}
+    sentence = Sentence(text, tokenizer, tagger, abbreviations=chemical)
+    sentence.compounds = found = compounds(sentence)
     seen = set()
+    rows: list[tuple[Model, str, dict, float]] = []
+    by = {m.name: m for m in models}
+    told = [m for m in models if is_quantity(m)]
     for model in models:
         if model.name == "Compound":
-            rows: Iterator = (("cem", _compound(c), 1.0) for c in found if _compound(c))
+            rows += [(model, "cem", _compound(c), 1.0) for c in found if _compound(c)]
         elif model.name in _SPECTRA:
-            rows = _SPECTRA[model.name](text)
-        elif model.dimension is not None:
-            rows = quantities(text, model, found, (specifiers or {}).get(model.name))
-        else:
-            continue
-        for method, record, confidence in rows:
-            key = model.name + json.dumps(record, sort_keys=True)
-            if key not in seen and model.required_fulfilled(record, contextual=False):
-                seen.add(key)
-                yield model.name, method, record, confidence
-
-
-def trigger(models: list[Model], text: Column) -> Column:
-    """Lets through every sentence in which one of the models can find something."""
-    if any(not m.triggers for m in models):
+            rows += [(model, *x) for x in _SPECTRA[model.name](text)]
+        elif told and model is told[0]:
+            rows += [(by[name], *x) for name, *x in quantities(text, told, found, specifiers)]
+        elif not is_quantity(model) and patterned(model):
+            rows += [(model, *x) for x in FieldParser(model).parse(sentence)]
+    for p in parsers:
+        if not p.trigger or any(w in text for w in p.trigger):
+            rows += [(p.model, *x) for x in p.parse(sentence)]
+    for model, method, record, confidence in rows:
+        key = model.name + json.dumps(record, sort_keys=True)
+        if key not in seen and model.required_fulfilled(record, contextual=False):
+            seen.add(key)
+            yield model.name, method, record, confidence
+
+
+def trigger(models: list[Model], text: Column, parsers: list = ()) -> Column:
+    """Lets through every sentence in which one of the models or parsers can find something."""
+    words = [*(m.triggers for m in models), *(tuple(p.trigger) for p in parsers)]
+    if any(not w for w in words):
         return F.lit(True)
-    return trigger_column(text, sorted({w for m in models for w in m.triggers}))
+    return trigger_column(text, sorted({w for ws in words for w in ws}))
 
 
-def records(sentences: DataFrame, keys: list[str], models: list[Model], text: str = "text", specifiers: str | None = None) -> DataFrame:
+def records(sentences: DataFrame, keys: list[str], models: list[Model], text: str = "text", specifiers: str | None = None, parsers: list = (), tokenizer: Tokenizer = word_spans, tagger: Tagger = chemical_tags, abbreviations: str | None = None) -> DataFrame:
     """The records of all sentences, (keys, rec_idx, model, method, payload, confidence). specifiers: a column of
-    ``with_definitions``; a sentence with defined symbols passes the trigger."""
+    ``with_definitions``; a sentence with defined symbols passes the trigger. abbreviations: one of ``with_abbreviations``.
+    parsers, tokenizer and tagger go to the workers as they are."""
     known = F.col(specifiers) if specifiers else F.array().cast("array<string>")
-    rows = sentences.select(*keys, text, known.alias("_known")).where(F.col(text).isNotNull() & (trigger(models, F.col(text)) | (F.size("_known") > 0)))
+    short = F.map_entries(abbreviations) if abbreviations else F.lit(None).cast("array<struct<key: string, value: string>>")
+    rows = sentences.select(*keys, text, known.alias("_known"), short.alias("_short")).where(F.col(text).isNotNull() & (trigger(models, F.col(text), parsers) | (F.size("_known") > 0)))
     schema = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for b in batches:
             out = []
-            for *key, t, known in zip(*(b[c] for c in [*keys, text, "_known"])):
+            for *key, t, known, short in zip(*(b[c] for c in [*keys, text, "_known", "_short"])):
                 defined: dict[str, list[str]] = {}
                 for pair in known if known is not None else ():
                     defined.setdefault(pair.partition("=")[0], []).append(pair.partition("=")[2])
-                for i, (model, method, record, confidence) in enumerate(sentence_records(t, models, defined)):
+                forms = {x["key"]: x["value"] for x in short} if short is not None else None
+                for i, (model, method, record, confidence) in enumerate(sentence_records(t, models, defined, parsers, tokenizer, tagger, forms)):
                     out.append((*key, i, model, method, json.dumps(record, ensure_ascii=False), {"record": confidence}))
             yield pd.DataFrame(out, columns=[*keys, "rec_idx", "model", "method", "payload", "confidence"])
 

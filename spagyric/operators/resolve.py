@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -24,10 +24,18 @@ from spagyric.spec.models import PARAGRAPH, SECTION, SENTENCE, Model, Range, bey
 
 
 class Record:
-    __slots__ = ("model", "data", "at", "method", "confidence", "section")
+    __slots__ = ("model", "data", "at", "method", "confidence", "section", "element")
 
-    def __init__(self, model: Model, data: dict, at: tuple[int, int, int], method: str, confidence: dict, section: int):
-        self.model, self.data, self.at, self.method, self.confidence, self.section = model, data, at, method, confidence, section
+    def __init__(self, model: Model, data: dict, at: tuple[int, int, int], method: str, confidence: dict, section: int, element: str | None = None):
+        self.model, self.data, self.at, self.method, self.confidence, self.section, self.element = model, data, at, method, confidence, section, element
+
+    def sureness(self) -> float:
+        return min((x for x in (self.confidence or {}).values() if x is not None), default=1.0)
+
+    def lower(self, other: "Record") -> None:
+        """Keeps the lower confidence of each kind: a record is as sure as the least sure one it was made from."""
+        own, new = self.confidence or {}, other.confidence or {}
+        self.confidence = {k: min(x for x in (own.get(k), new.get(k)) if x is not None) for k in {**own, **new} if own.get(k) is not None or new.get(k) is not None}
 
 
 def distance(a: Record, b: Record) -> Range:
@@ -60,13 +68,67 @@ def compatible(model: Model, a: dict, b: dict) -> bool:
         if f.name == "compound":
             if not same_compound(x, y):
                 return False
+        elif f.binding:
+            if not bound(f, x, y):
+                return False
         elif x != y:
             return False
     return True
 
 
+def bound(f, x, y) -> bool:
+    """Whether two values of a binding field agree: one says all that the other says."""
+    if isinstance(f.kind, Model):
+        return f.kind.is_superset(x, y) or f.kind.is_superset(y, x)
+    if isinstance(f.kind, tuple) and not isinstance(f.kind[1], Model):
+        return set(x) <= set(y) or set(y) <= set(x)
+    return x == y
+
+
+def consolidated(model: Model, data: dict) -> None:
+    """A binding field holds for all below a record: nested records of the same field take its fuller value."""
+    for f in model.fields:
+        value = data.get(f.name)
+        if not f.binding or f.is_empty(value):
+            continue
+        for g in model.fields:
+            inner = data.get(g.name)
+            if g is not f and isinstance(g.kind, Model) and isinstance(inner, dict):
+                same = next((h for h in g.kind.fields if h.name == f.name), None)
+                if same is not None and (same.is_empty(inner.get(f.name)) or bound(f, value, inner[f.name])):
+                    inner[f.name] = value
+
+
+def merge_all(into: Record, other: Record) -> bool:
+    """Fills every field of a record that is missing and that another, compatible record of its model has, contextual or
+    not, whatever the distance; whether any was."""
+    if other.model.name != into.model.name or not compatible(into.model, into.data, other.data):
+        return False
+    changed = False
+    for f in into.model.fields:
+        if not f.never_merge and f.is_empty(into.data.get(f.name)) and not f.is_empty(other.data.get(f.name)):
+            into.data[f.name] = other.data[f.name]
+            changed = True
+        elif f.name == "compound" and same_compound(into.data.get(f.name), other.data.get(f.name)):
+            new = united(into.data[f.name], other.data[f.name])
+            changed |= new != into.data[f.name]
+            into.data[f.name] = new
+    if changed:
+        into.lower(other)
+        consolidated(into.model, into.data)
+    return changed
+
+
 def merge_contextual(into: Record, other: Record, d: Range) -> bool:
     """Fills the contextual fields of a record that are missing and near enough in another; whether any was."""
+    changed = _merge_contextual(into, other, d)
+    if changed:
+        into.lower(other)
+        consolidated(into.model, into.data)
+    return changed
+
+
+def _merge_contextual(into: Record, other: Record, d: Range) -> bool:
     if not beyond(d, into.model.no_merge_range) and d.counts() != (0, 0, 0, 0):
         return False
     changed = False
@@ -128,6 +190,7 @@ def resolve_document(rows: list[Record], definitions: dict[str, list[str]] | lis
         names[a].data = {k: sorted(x) for k, x in held[a].items() if x}
     kept = {id(names[i]) for i in range(len(names)) if root(i) == i}
     rows = [r for r in rows if r.model.name != "Compound" or id(r) in kept]
+    inherited(rows)
     contexts = _Contexts(rows)
     for i, r in enumerate(rows):
         if not r.model.contextual_fulfilled(r.data):
@@ -147,6 +210,33 @@ def resolve_document(rows: list[Record], definitions: dict[str, list[str]] | lis
     return out
 
 
+def inherited(rows: list[Record]) -> None:
+    """Records without a compound, and without one in their own sentence, take the one their section's heading names, else
+    the product that the section names last before them; a document's title stands in for a heading in front of the first.
+    Only a heading with one compound tells which it is."""
+    named = [r for r in rows if r.model.name == "Compound" and (r.data.get("names") or r.data.get("labels"))]
+    if not named or not any(r.element for r in named):
+        return
+    heads: dict[int, list[Record]] = {}
+    product: dict[int, list[Record]] = {}
+    spoken = {r.at[:2] for r in named}
+    for r in named:
+        if r.element in ("Heading", "Title"):
+            heads.setdefault(r.section, []).append(r)
+        elif "product" in r.data.get("roles", ()):
+            product.setdefault(r.section, []).append(r)
+    for r in rows:
+        f = next((f for f in r.model.fields if f.name == "compound" and f.contextual and isinstance(f.kind, Model)), None)
+        if f is None or not f.is_empty(r.data.get("compound")) or r.at[:2] in spoken:
+            continue
+        over = heads.get(r.section, [])
+        made = [p for p in product.get(r.section, []) if p.at < r.at]
+        source = over[0] if len(over) == 1 and over[0].at < r.at else made[-1] if made else None
+        if source is not None and within(distance(r, source), f.contextual_range):
+            r.data["compound"] = dict(source.data)
+            r.lower(source)
+
+
 def _keys(compound: dict | None) -> list[str]:
     """What two records of one compound have in common."""
     return [*("n" + x for x in (compound or {}).get("names", ())), *("l" + x for x in (compound or {}).get("labels", ()))]
@@ -205,10 +295,10 @@ class _Contexts:
         self.monotone = all(a.section <= b.section for a, b in zip(rows, rows[1:]))
         self.first, self.end = list(range(len(rows))), list(range(1, len(rows) + 1))  # of the records at one place
         for i in range(1, len(rows)):
-            if rows[i].at == rows[i - 1].at:
+            if rows[i].at[:2] == rows[i - 1].at[:2]:
                 self.first[i] = self.first[i - 1]
         for i in range(len(rows) - 2, -1, -1):
-            if rows[i].at == rows[i + 1].at:
+            if rows[i].at[:2] == rows[i + 1].at[:2]:
                 self.end[i] = self.end[i + 1]
         self.of: dict[str, list[int]] = {}
         for i, r in enumerate(rows):
@@ -252,7 +342,8 @@ class _Contexts:
     def _order(self, r: Record, j: int) -> tuple:
         at, o = r.at, self.rows[j]
         d = (0, 0, 0, abs(at[1] - o.at[1])) if at[0] == o.at[0] else (0, abs(r.section - o.section), abs(at[0] - o.at[0]), 0)
-        return d, o.at > at, [-x for x in o.at] if o.at < at else list(o.at), j
+        within_ = abs(at[2] - o.at[2]) / (o.sureness() + 0.01) if at[:2] == o.at[:2] else 0.0
+        return d, within_, o.at > at, [-x for x in o.at] if o.at < at else list(o.at), j
 
     def _walks(self, i: int, found: list[int]) -> list[Iterator[int]]:
         """The list from near to far, as runs that are each in order: back, at the same place, ahead."""
@@ -264,10 +355,11 @@ class _Contexts:
             k = low
             while k:
                 begin = bisect_left(found, self.first[found[k - 1]])
-                yield from found[begin:k]
+                yield from sorted(found[begin:k], key=lambda j: self._order(self.rows[i], j))
                 k = begin
 
-        return [back(), (j for j in found[low:high] if j != i), (found[k] for k in range(high, len(found)))]
+        own = sorted((j for j in found[low:high] if j != i), key=lambda j: self._order(self.rows[i], j))
+        return [back(), iter(own), (found[k] for k in range(high, len(found)))]
 
     def fill(self, i: int) -> None:
         r = self.rows[i]
@@ -328,18 +420,19 @@ class _Contexts:
 def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sections: DataFrame | None = None, definitions: DataFrame | None = None) -> DataFrame:
     """(doc, el_idx, sent_idx, rec_idx, model, method, payload, confidence) after merging within each document.
 
-    sections: (doc, el_idx, section) of elements; without it a document is one section. A document is resolved as a whole,
+    sections: (doc, el_idx, section, el_type) of elements; without it a document is one section of no known elements. A document is resolved as a whole,
     whatever its length. definitions: (doc, short, long) of abbreviations, which hold in the whole document.
     """
     by = {m.name: m for top in models for m in top.flatten()}
     rows = records.join(sections, [doc, "el_idx"], "left") if sections is not None else records.withColumn("section", F.lit(0))
+    rows = rows if "el_type" in rows.columns else rows.withColumn("el_type", F.lit(None).cast("string"))
     if definitions is not None:  # rows without a place, so they come first
         said = {doc: F.col(doc), "payload": F.to_json(F.array("short", "long"))}
         rows = rows.unionByName(definitions.select(*(said.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in rows.schema)))
     kind = records.schema[doc].dataType.simpleString()
     schema = f"`{doc}` {kind}, el_idx int, sent_idx int, rec_idx int, model string, method string, payload string, confidence map<string,double>"
 
-    columns = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence", "section"]
+    columns = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence", "section", "el_type"]
     names = [doc, "el_idx", "sent_idx", "rec_idx", "model", "method", "payload", "confidence"]
 
     def done(key, group: list[Record], told: list) -> list[tuple]:
@@ -350,7 +443,7 @@ def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sectio
         at, group, told = None, [], []
         for b in batches:
             out = []
-            for key, e, s, r, m, method, p, c, sec in b[columns].itertuples(index=False, name=None):
+            for key, e, s, r, m, method, p, c, sec, element in b[columns].itertuples(index=False, name=None):
                 if at != key:
                     out += done(at, group, told) if group else []
                     group, told = [], []
@@ -358,7 +451,7 @@ def resolve(records: DataFrame, models: list[Model], doc: str = "doc_id", sectio
                 if m is None and pd.isna(e):
                     told.append(tuple(json.loads(p)))
                 elif m in by:
-                    group.append(Record(by[m], json.loads(p), (int(e), int(s), int(r)), method, c, 0 if pd.isna(sec) else int(sec)))
+                    group.append(Record(by[m], json.loads(p), (int(e), int(s), int(r)), method, c, 0 if pd.isna(sec) else int(sec), element))
             yield pd.DataFrame(out, columns=names)
         if group:
             yield pd.DataFrame(done(at, group, told), columns=names)
@@ -416,11 +509,29 @@ def union_of(df: DataFrame, group: list[str], arrays: list[str]) -> DataFrame:
     return out
 
 
-def pooled_confidence(c: Column) -> Column:
-    """The least of a map of confidences; null for none."""
-    return F.array_min(F.map_values(c))
+#: Ways to make one confidence of several.
+POOLS: dict[str, Callable[[Column], Column]] = {
+    "least": F.array_min,
+    "mean": lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a),
+    "product": lambda a: F.aggregate(a, F.lit(1.0), lambda x, y: x * y),
+}
+
+
+def pooled_confidence(c: Column, pool: str | Callable[[Column], Column] = "least") -> Column:
+    """One confidence of a map of them, by one of ``POOLS`` or a function of an array; null for none."""
+    known = F.filter(F.map_values(c), lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, (POOLS[pool] if isinstance(pool, str) else pool)(known))
+
+
+def required_confidence(model: Model, record: Column, confidence: Column) -> Column:
+    """A confidence less what the empty required fields of a record take from it."""
+    out = confidence
+    for f in model.fields:
+        if f.required:
+            out = out * F.when(record[f.name].isNull(), 1 - f.requiredness).otherwise(1.0)
+    return out
 
 
 def merged_confidence(a: Column, b: Column) -> Column:
-    """Per field the lower one."""
+    """Per field the lower one; a field that only one has keeps its own."""
     return F.map_zip_with(a, b, lambda k, x, y: F.least(x, y))

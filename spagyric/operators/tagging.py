@@ -151,31 +151,29 @@ class Perceptron:
             for w, t in zip(ws, ts):
                 counts[w][t] += 1
         self.sure = {w: c.most_common(1)[0][0] for w, c in counts.items() if sum(c.values()) >= least and c.most_common(1)[0][1] >= share * sum(c.values())}
-        totals: dict = defaultdict(float)
-        stamps: dict = defaultdict(int)
-        step, order = 0, random.Random(seed)
+        order = random.Random(seed)
+        current: dict[tuple[str, str], float] = defaultdict(float)
+        delayed: dict[tuple[str, str], float] = defaultdict(float)  # changes weighted by the number of decisions before them
+        step = 0
         for _ in range(rounds):
             order.shuffle(data := list(data))
             for ws, ts in data:
-                before, before2 = "-start-", "-start-"
+                said: list[str] = []
                 for i, (w, gold) in enumerate(zip(ws, ts)):
-                    guess = self.sure.get(w)
-                    if not guess:
-                        step += 1
-                        features = self.features(ws, i, before, before2)
-                        guess = self.predict(features)
-                        if guess != gold:
+                    known = self.sure.get(w)
+                    if not known:
+                        features = self.features(ws, i, said[-1] if said else "-start-", said[-2] if len(said) > 1 else "-start-")
+                        known = self.predict(features)
+                        for tag, by in ((gold, 1.0), (known, -1.0)) if known != gold else ():
                             for f in features:
-                                known = self.weights.setdefault(f, {})
-                                for tag, by in ((gold, 1.0), (guess, -1.0)):
-                                    totals[f, tag] += (step - stamps[f, tag]) * known.get(tag, 0.0)
-                                    stamps[f, tag] = step
-                                    known[tag] = known.get(tag, 0.0) + by
-                    before, before2 = guess, before
-        for f, known in self.weights.items():
-            for tag in known:
-                totals[f, tag] += (step - stamps[f, tag]) * known[tag]
-                known[tag] = round(totals[f, tag] / max(step, 1), 4)
+                                current[f, tag] += by
+                                delayed[f, tag] += by * step
+                                self.weights.setdefault(f, {})[tag] = current[f, tag]
+                        step += 1
+                    said.append(known)
+        # the mean over all decisions of a weight is what it is in the end, less what was missing before each change
+        for (f, tag), end in current.items():
+            self.weights[f][tag] = round(end - delayed[f, tag] / max(step, 1), 4)
         return self
 
     def dumps(self) -> str:
@@ -216,14 +214,27 @@ _SYMBOL = "(?:" + "|".join(sorted(ELEMENT_SYMBOLS, key=len, reverse=True)) + ")"
 _FORMULA = re.compile(rf"^(?:\(?{_SYMBOL}\d*(?:\.\d+)?\)?\d*){{2,}}[+-]?$")
 #: Endings and parts of systematic names, and common names that have none of them.
 _ENDING = re.compile(r"(?:ane|ene|yne|anol|enol|one|oic|ate|ide|ine|yl|ole|ose|oxide|amine|amide|nitrile|benzene|toluene|ether|hydrazide|azole|idine|urea|acid|thiol|phenol|ol|al|in|ium)s?$")
-_PART = re.compile(r"(?:meth|eth|prop|but|pent|hex|benz|phen|chlor|brom|fluor|iod|nitr|amin|hydrox|carb|sulf|sulph|oxo|acet|form|thi|phosph|tert|cyclo|cyan|alk|vinyl|allyl|tolu)", re.I)
+_PART = re.compile(r"(?:meth|eth|prop|but|pent|hex|benz|phen|chlor|brom|fluor|iod|nitr|amin|hydrox|carb|sulf|sulph|oxo|acet|form|thi|phosph|tert|cyclo|cyan|alk|vinyl|allyl|tolu|naphth|anthr|pyr|peryl|ferroc|porphyr|quinol|indol|imid|fur|carbaz|coumar|rhodam|glyc|styr)", re.I)
+#: Names of the elements.
+ELEMENT_NAMES = set("""
+hydrogen helium lithium beryllium boron carbon nitrogen oxygen fluorine neon sodium magnesium aluminium aluminum silicon phosphorus sulfur sulphur chlorine
+argon potassium calcium scandium titanium vanadium chromium manganese iron cobalt nickel copper zinc gallium germanium arsenic selenium bromine krypton
+rubidium strontium yttrium zirconium niobium molybdenum technetium ruthenium rhodium palladium silver cadmium indium tin antimony tellurium iodine xenon
+caesium cesium barium lanthanum cerium praseodymium neodymium promethium samarium europium gadolinium terbium dysprosium holmium erbium thulium ytterbium
+lutetium hafnium tantalum tungsten rhenium osmium iridium platinum gold mercury thallium bismuth polonium astatine radon francium radium actinium thorium
+protactinium uranium neptunium plutonium americium
+""".split())
+#: Anions by the endings of systematic names, behind an element or another cation.
+_ANION = re.compile(r"(?:[a-z]+(?:ide|ate|ite)|oxide)s?$")
 COMMON_NAMES = set("water ethanol methanol acetone toluene benzene chloroform dichloromethane hexane pyridine ammonia aniline phenol urea glucose cholesterol caffeine aspirin dmso dmf thf dcm meoh etoh etoac tfa silica alumina brine".split())
 _NOT = set("the one none alone some same phone zone time line state rate plate separate moderate appropriate approximate indicate temperature range outline medicine machine engine combine determine define examine final normal crystal general several total all solution method type value point material signal oil al in was obtained metal optical chemical thermal natural typical residual initial original pale yellow white solid colourless".split())
 
 
 def is_chemical(word: str) -> bool:
     w = word.lower()
-    if w in COMMON_NAMES:
+    if w in COMMON_NAMES or re.sub(r"\([ivx]+\)$", "", w) in ELEMENT_NAMES - {"lead", "gold", "silver"}:
+        return True
+    if re.fullmatch(r"poly\(?[a-z-]{4,}\)?", w) and _ENDING.search(w.rstrip(")")):
         return True
     if w in _NOT or not re.search(r"[A-Za-z]", word):
         return False
@@ -243,7 +254,10 @@ def chemical_tags(ws: Sequence[str]) -> list[str]:
     """B-CM and I-CM for chemicals by rules: known words and formulas, joined where a second word continues a name,
     without brackets that don't close."""
     hit = [is_chemical(w) for w in ws]
-    for i in range(1, len(ws)):  # 'acetic acid', 'sodium chloride'
+    for i in range(1, len(ws)):  # 'acetic acid', 'sodium chloride', 'barium titanate'
+        cation = re.sub(r"\([ivx]+\)$", "", ws[i - 1].lower()) in ELEMENT_NAMES or ws[i - 1].lower() in ("ammonium", "lead")
+        if not hit[i] and cation and ws[i].lower() not in _NOT and _ANION.fullmatch(ws[i].lower()):
+            hit[i] = hit[i - 1] = True
         if hit[i] and not hit[i - 1] and re.fullmatch(r"[a-z]+(?:ic|ium|ous)|sodium|lithium|potassium|silver|zinc|copper(?:\([IV]+\))?|nickel(?:\([IV]+\))?|cobalt(?:\([IV]+\))?|iron(?:\([IV]+\))?", ws[i - 1].lower()):
             hit[i - 1] = True
         if not hit[i] and hit[i - 1] and ws[i].lower() in ("acid", "anhydride", "ether", "oxide", "chloride", "bromide", "hydrochloride"):

@@ -141,10 +141,10 @@ def with_neighbours(df: DataFrame, doc: list[str], order: list[str], text: str =
     return df.withColumn("preceding", preceding).withColumn("following", following)
 
 
-def section_filter(elements: DataFrame, allow: str | None = None, skip: str | None = None) -> DataFrame:
+def section_filter(elements: DataFrame, allow: str | None = None, skip: str | None = None, doc: str = "doc_id") -> DataFrame:
     """The elements of sections whose heading fits ``allow`` and doesn't fit ``skip``; what comes before any
     heading stays unless ``allow`` is given."""
-    rows = with_heading(elements)
+    rows = with_heading(elements, doc)
     if allow:
         rows = rows.where(F.col("heading").rlike(f"(?i){allow}"))
     if skip:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from spagyric.operators import evaluate as E
 from spagyric.operators import extract as X
+from spagyric.operators import grammar as G
 from spagyric.operators import resolve as R
+from spagyric.operators.parsers import PatternParser
 from spagyric.operators.relations import Snowball, cosine_column, relations
 from spagyric.operators.tagging import Perceptron, clauses, name_dictionary, regex_tagger
 from spagyric.operators.tokens import section_filter, sentences
@@ -18,7 +20,8 @@ from spagyric.session import shared_folder, table
 from spagyric.sources import biblio as B
 from spagyric.sources.readers import elements, metadata
 from spagyric.sources.scrape import DOCUMENT, Entity, Field, scrape
-from spagyric.spec.models import COMPOUND, CURIE_TEMPERATURE, MELTING_POINT, NMR_SPECTRUM, UVVIS_SPECTRUM
+from spagyric.spec.models import COMPOUND, CURIE_TEMPERATURE, ELECTROCHEMICAL_POTENTIAL, FLUORESCENCE_LIFETIME, MELTING_POINT, NEEL_TEMPERATURE, NMR_SPECTRUM, QUANTUM_YIELD, UVVIS_SPECTRUM, Model
+from spagyric.spec.models import Field as ModelField
 from spagyric.streaming.documents import counts_by_window
 
 ORACLE: dict[str, str] = {}
@@ -179,6 +182,114 @@ def paired_lists_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.get_json_object("payload", "$.raw_value").alias("raw_value"), F.get_json_object("payload", "$.compound.names[0]").alias("name"))
 
 
+_PROPERTIES = """
+select p_partkey, m as model, v as raw_value, case p_size % 3 when 0 then 'BiFeO3' when 1 then 'barium titanate' else 'MnO' end as name from part,
+lateral (values ('NeelTemperature', cast(p_size as varchar)), ('CurieTemperature', cast(p_size + 400 as varchar))) as x(m, v)
+"""
+
+
+@query(_PROPERTIES)
+def two_properties_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Two properties stated in one sentence, in six forms: every value goes to its own property."""
+    size = F.col("p_size")
+    n = F.when(size % 3 == 0, "BiFeO3").when(size % 3 == 1, "barium titanate").otherwise("MnO")
+    t, c = size, size + 400
+    forms = [
+        text(n, " has TN of ", t, " K and Tc of ", c, " K."), text("The Curie and Neel temperatures of ", n, " are ", c, " K and ", t, " K, respectively."), text("For ", n, " we found a Neel temperature of ", t, " K; its Curie temperature is ", c, " K in ", n, "."),
+        text("A TN of ", t, " K and a Tc of ", c, " K were measured for ", n, " at 5 bar."), text("The Neel temperature (", t, " K) and the Curie temperature (", c, " K) of ", n, " differ."), text(n, " shows Neel and Curie temperatures of ", t, " and ", c, " K."),
+    ]
+    form = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    out = X.records(table(spark, d, "part").select("p_partkey", form.alias("text")), ["p_partkey"], [CURIE_TEMPERATURE, NEEL_TEMPERATURE])
+    return out.select("p_partkey", "model", F.get_json_object("payload", "$.raw_value").alias("raw_value"), F.get_json_object("payload", "$.compound.names[0]").alias("name"))
+
+
+@query("""
+select p_partkey, cast(v as varchar) as raw_value, n as name from part,
+lateral (select unnest(case p_partkey % 6 when 0 then [p_size + 1, p_size + 2] when 1 then [p_size + 1, p_size + 2, p_size + 3] when 2 then [p_size + 1, p_size + 2, p_size + 3] when 3 then [p_size + 1, p_size + 2] when 4 then [p_size + 1] else [p_size + 1, p_size + 2] end) as v,
+unnest(case p_partkey % 6 when 0 then ['MnO', 'MnO'] when 1 then ['MnO', 'FeO', 'CoO'] when 2 then ['MnO', 'FeO', 'CoO'] when 3 then ['MnO', 'FeO'] when 4 then ['MnO'] else ['MnO', 'FeO'] end) as n) as x(v, n)
+""")
+def entity_shapes_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The shapes of statements with several entities: one compound with several values, lists of compounds in front of and
+    behind their values, values beside their compounds, a value among others that are none, separate statements."""
+    a, b, c = (F.col("p_size") + i for i in (1, 2, 3))
+    forms = [
+        text("The Curie temperature of MnO was ", a, " K and ", b, " K."), text("The Curie temperatures of MnO, FeO and CoO are ", a, ", ", b, " and ", c, " K, respectively."), text("MnO, FeO and CoO have Curie temperatures of ", a, " K, ", b, " K and ", c, " K."),
+        text("The Curie temperature rises from ", a, " K in MnO to ", b, " K in FeO."), text("At 300 K the Curie temperature of MnO was measured as ", a, " K."), text("MnO has a Curie temperature of ", a, " K, while FeO has a Curie temperature of ", b, " K."),
+    ]
+    form = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    out = X.records(table(spark, d, "part").select("p_partkey", form.alias("text")), ["p_partkey"], [CURIE_TEMPERATURE])
+    return out.select("p_partkey", F.get_json_object("payload", "$.raw_value").alias("raw_value"), F.get_json_object("payload", "$.compound.names[0]").alias("name"))
+
+
+@query("""
+select p_partkey, case p_size % 3 when 0 then 'QuantumYield' when 1 then 'FluorescenceLifetime' else 'ElectrochemicalPotential' end as model,
+case p_size % 3 when 0 then '0.' || p_size when 1 then p_size || '.5' else '-0.' || p_size end as value, case p_size % 3 when 0 then null when 1 then 'ns' else 'V' end as units, 'ferrocene' as name from part
+""")
+def models_without_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """Models whose fields have patterns and that are no quantities."""
+    k = F.col("p_size")
+    s = F.when(k % 3 == 0, text("The quantum yield of ferrocene was 0.", k, " in ethanol.")).when(k % 3 == 1, text("For ferrocene a lifetime of ", k, ".5 ns was found.")).otherwise(text("The reduction potential of ferrocene is -0.", k, " V."))
+    out = X.records(table(spark, d, "part").select("p_partkey", s.alias("text")), ["p_partkey"], [QUANTUM_YIELD, FLUORESCENCE_LIFETIME, ELECTROCHEMICAL_POTENTIAL])
+    return _payload(out, "value", "units").select("p_partkey", "model", "value", "units", F.get_json_object("payload", "$.compound.names[0]").alias("name"))
+
+
+_YIELD = Model("Yield", (ModelField("value", required=True), ModelField("units"), ModelField("remarks", ("list", "string")), ModelField("compound", COMPOUND, contextual=True)))
+
+
+@query("""
+select p_partkey, cast(p_size as varchar) as value, '%' as units, case p_size % 3 when 0 then ['crude'] when 1 then ['isolated', 'pure'] end as remarks, case p_size % 2 when 0 then 'ferrocene' else 'potassium bromide' end as name from part where p_size % 5 > 0
+""")
+def pattern_parser(spark: SparkSession, d: str) -> DataFrame:
+    """A parser of a model of one's own: a pattern of words, tags and repetitions, run over the tagged words of every sentence,
+    its named nodes read as fields. Sentences in which only the words differ give nothing."""
+    cem = (G.Tag("B-CM") + G.some(G.Tag("I-CM"))).named("names").then(G.join)
+    remark = (G.IWord("crude") | G.IWord("isolated") | G.IWord("pure")).named("remarks")
+    number = (G.Regex(r"^\d+$") & ~G.Word("100")).named("value")
+    root = G.Group(cem).named("compound") + G.Word("was").hidden() + G.SkipTo(number).hidden() + number + G.Word("%").named("units") + G.maybe(G.Word("yield").hidden() + G.Word("(").hidden() + G.many(remark + G.some(G.Word(",").hidden())) + G.Word(")").hidden()) + (G.End() ^ G.Word(".")).hidden()
+    k = F.col("p_size")
+    n = F.when(k % 2 == 0, "ferrocene").otherwise("potassium bromide")
+    tail = F.when(k % 3 == 0, " yield (crude)").when(k % 3 == 1, " yield (isolated, pure)").otherwise("")
+    s = F.when(k % 5 == 0, text(n, " will be made in ", k, " minutes.")).otherwise(text("Then ", n, " was obtained in ", k, " %", tail, "."))
+    out = X.records(table(spark, d, "part").select("p_partkey", s.alias("text")), ["p_partkey"], [], parsers=[PatternParser(_YIELD, root, trigger=("%",))])
+    p = F.from_json("payload", "value string, units string, remarks array<string>, compound struct<names: array<string>>").alias("p")
+    return out.select("p_partkey", p).select("p_partkey", "p.value", "p.units", "p.remarks", F.get(F.col("p.compound.names"), F.lit(0)).alias("name"))
+
+
+@query("""
+select p_partkey, case s when 0 then cast(p_size + 300 as varchar) when 1 then cast(p_size + 400 as varchar) else cast(p_size + 500 as varchar) end as raw_value,
+case s when 0 then ['4-bromotoluene'] when 1 then case p_size % 2 when 0 then ['DMP', 'dimethylphenol'] else ['dimethylphenol'] end else ['2-chlorobenzamide'] end as names from part, range(3) t(s) where not (s = 2 and p_size % 3 = 0)
+""")
+def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages rendered from parts and taken through all of the pipeline: a value under the heading that names its compound, one
+    under the abbreviation that another section defines, one in a table, and one in the references, which are skipped."""
+    from spagyric.api import extract
+
+    k = F.col("p_size")
+    short = F.when(k % 2 == 0, "We used dimethylphenol (DMP) throughout.").otherwise("We used it throughout.")
+    name = F.when(k % 2 == 0, "DMP").otherwise("dimethylphenol")
+    cells = F.when(k % 3 == 0, "").otherwise(text("<table><caption>Data</caption><tr><th>Compound<th>mp (K)</tr><tr><td>2-chlorobenzamide<td>", k + 500, "</tr></table>"))
+    page = text(
+        "<html><head><title>x</title></head><body><h1>Report ", F.col("p_partkey"), "</h1><h2>Preparation of 4-bromotoluene</h2><p>It was heated. The melting point was ", k + 300, " K.</p><h2>Methods</h2><p>", short, "</p><p>The melting point of ", name, " was ", k + 400, " K.</p>",
+        cells, "<h2>References</h2><p>A melting point of 7 K was found for toluene.</p></body></html>",
+    )
+    docs = table(spark, d, "part").select("p_partkey", page.alias("content"))
+    out = extract(docs, [MELTING_POINT, COMPOUND], "p_partkey", skip_section="^references$").where("model = 'MeltingPoint'")
+    p = F.from_json("payload", "raw_value string, compound struct<names: array<string>>").alias("p")
+    return out.select("p_partkey", p).select("p_partkey", "p.raw_value", F.col("p.compound.names").alias("names"))
+
+
+@query("""
+select rec_id, doc_id, cast(row_number() over (partition by doc_id order by coalesce(list_min(list_filter(map_values(confidence), lambda x: x is not null)), 0) desc, el_idx, sent_idx, rec_idx, rec_id) as integer) as rank
+from (select distinct on (rec_id) * from mp_records) qualify rank <= 2
+""")
+def surest_records(spark: SparkSession, d: str) -> DataFrame:
+    """The two surest records of every document."""
+    from spagyric.api import ranked
+
+    mp = table(spark, d, "mp_records").dropDuplicates(["rec_id"]).select("rec_id", "doc_id", "el_idx", "sent_idx", F.struct("rec_idx", "rec_id").alias("rec_idx"), "confidence")
+    return ranked(mp, ["doc_id"], 2).select("rec_id", "doc_id", "rank")
+
+
 @query("select p_partkey, '4-bromotoluene' as name, p_size || 'b' as label, 'product' as role from part")
 def compound_mentions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", text("We isolated the product 4-bromotoluene (", F.col("p_size"), "b) in good yield.").alias("text"))

@@ -287,7 +287,9 @@ NMR_PEAK = Model("NmrPeak", (Field("shift"), Field("intensity"), Field("multipli
 UVVIS_SPECTRUM = Model("UvvisSpectrum", (*_SETTING, _WITH, Field("peaks", ("list", UVVIS_PEAK)), _OF), triggers=("UV", "λmax", "lambda"))
 IR_SPECTRUM = Model("IrSpectrum", (*_SETTING, _WITH, Field("peaks", ("list", IR_PEAK)), _OF), triggers=("IR", "FT-IR", "cm"))
 NMR_SPECTRUM = Model("NmrSpectrum", (Field("nucleus"), *_SETTING, Field("frequency", contextual=True), Field("frequency_units", contextual=True), Field("standard", contextual=True), _WITH, Field("peaks", ("list", NMR_PEAK)), _OF), triggers=("NMR",))
-QUANTUM_YIELD = Model("QuantumYield", (Field("value"), Field("units"), *_SETTING, Field("standard"), Field("standard_value"), _WITH, _OF))
-FLUORESCENCE_LIFETIME = Model("FluorescenceLifetime", (Field("value"), Field("units"), *_SETTING, _WITH, _OF))
-ELECTROCHEMICAL_POTENTIAL = Model("ElectrochemicalPotential", (Field("value"), Field("units"), Field("type"), *_SETTING, _WITH, _OF))
+_NUMBER = r"(?:~|ca\. ?)?\d+(?:\.\d+)?(?: ?[±] ?\d+(?:\.\d+)?)?"
+#: Values behind the words that name them, or in front of them; (?P<v>) is the part that is taken.
+QUANTUM_YIELD = Model("QuantumYield", (Field("value", pattern=rf"quantum (?:yields?|efficiency)(?:\W+\w+){{0,3}}?\W+(?P<v>{_NUMBER})", required=True), Field("units", pattern=rf"{_NUMBER} ?(?P<v>%)(?!\w)"), *_SETTING, Field("standard", pattern=r"(?:relative to|against|versus) (?P<v>[\w ]+?)(?= (?:as|in)|[,.;(]|$)"), Field("standard_value", pattern=rf"standard \((?:\w+ ?= ?)?(?P<v>{_NUMBER})\)"), _WITH, _OF), triggers=("quantum",))
+FLUORESCENCE_LIFETIME = Model("FluorescenceLifetime", (Field("value", pattern=rf"lifetimes?(?:\W+\w+){{0,3}}?\W+(?P<v>{_NUMBER})", required=True), Field("units", pattern=rf"{_NUMBER} ?(?P<v>[pnµμm]?s)"), *_SETTING, _WITH, _OF), triggers=("lifetime",))
+ELECTROCHEMICAL_POTENTIAL = Model("ElectrochemicalPotential", (Field("value", pattern=rf"(?:potentials?|E(?:ox|red|1/2)|E½)(?:\W+\w+){{0,3}}?\s+(?:=\s*)?(?P<v>[-–−+]?{_NUMBER})", required=True), Field("units", pattern=rf"{_NUMBER} ?(?P<v>m?V)"), Field("type", pattern=r"oxidation|reduction|half-wave|redox|onset"), *_SETTING, _WITH, _OF), triggers=("potential", "Eox", "Ered", "E1/2", "E½"))
 BUILT_IN = {m.name: m for m in (COMPOUND, APPARATUS, MELTING_POINT, GLASS_TRANSITION, CURIE_TEMPERATURE, NEEL_TEMPERATURE, INTERATOMIC_DISTANCE, COORDINATION_NUMBER, UVVIS_SPECTRUM, IR_SPECTRUM, NMR_SPECTRUM, QUANTUM_YIELD, FLUORESCENCE_LIFETIME, ELECTROCHEMICAL_POTENTIAL)}

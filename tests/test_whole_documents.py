@@ -31,7 +31,7 @@ def brute(rows):
     for r in rows:
         if r.model.contextual_fulfilled(r.data):
             continue
-        for o in sorted((o for o in rows if o is not r), key=lambda o: (R.distance(r, o).counts(), o.at > r.at, [-x for x in o.at] if o.at < r.at else list(o.at))):
+        for o in sorted((o for o in rows if o is not r), key=lambda o: (R.distance(r, o).counts(), abs(o.at[2] - r.at[2]) / (o.sureness() + 0.01) if o.at[:2] == r.at[:2] else 0.0, o.at > r.at, [-x for x in o.at] if o.at < r.at else list(o.at))):
             R.merge_contextual(r, o, R.distance(r, o))
             if r.model.contextual_fulfilled(r.data):
                 break
@@ -66,7 +66,7 @@ def some(rng, n, wild):
             data = {"solvent": pick("s", "t", None, None), "temperature": pick("1", None), "compound": pick(compound(), None), "concentration": pick("5", None, None)}
             data |= {"nucleus": pick("1H", "13C"), "frequency": pick("400", None), "peaks": pick([], [{"shift": pick("1", "2")}])} if model is M.NMR_SPECTRUM else {"raw_value": pick("1", "2", "3", None), "raw_units": pick("K", "C", None), "specifier": pick("mp", "mp", None), "value": pick([1.0], [1.0, 2.0], None)}
             data = {k: v for k, v in data.items() if v is not None and k in {f.name for f in model.fields}}
-        rows.append(R.Record(model, data, at, "x", {}, section))
+        rows.append(R.Record(model, data, at, "x", {"record": pick(0.2, 0.7, 1.0)}, section))
     return rows
 
 
