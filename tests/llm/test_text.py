@@ -130,7 +130,46 @@ def test_pieces_of_no_rows(spark):
     assert S.split(df, "doc_id", "text").count() == 0 and S.oversized(df, "doc_id", "text").count() == 0
 
 
-def test_file_free_ranges_tile_a_text(spark):
+def test_segments_tile_a_text(spark):
     df = spark.createDataFrame([(1, LONG)], "doc_id bigint, text string")
-    parts = S.segments(df, "doc_id", "text", 1000).withColumn("own", F.expr("substring(body, lead + 1)")).orderBy("begin").collect()
-    assert "".join(p.own for p in parts) == LONG
+    parts = S.segments(S.text_ranges(df, "doc_id", "text", 1000), "doc_id").orderBy("begin").collect()
+    assert "".join(p.body for p in parts) == LONG and [p.begin for p in parts][:1] == [0]
+
+
+def test_sums_are_exact(truth):
+    """Lengths of units add up to the length of any run of them, blank lines and all kinds of texts included."""
+    enc = B.Encoder(B.vocabulary_bytes())
+    random.seed(9)
+    for text in [*odd_texts(), "a\n\nb c", "x" * 600 + "1" * 600 + ".'s" * 300, "日本。語" * 300]:
+        parts = S.units(text)
+        assert "".join(parts) == text
+        size = enc.sizes(parts)
+        for _ in range(3):
+            a, b = sorted(random.randint(0, len(parts)) for _ in range(2))
+            assert size[a:b].sum() == len(truth.encode_ordinary("".join(parts[a:b])))
+
+
+PARAGRAPHS = [("Sentence %d of it. It goes on here\n" % i) * (i % 4) + "\n" * (i % 3) + "word " * (i % 50) + "9" * (i % 7) for i in range(900)]
+
+
+def test_pieces_do_not_depend_on_ranges(spark, truth):
+    random.seed(4)
+    texts = ["".join(PARAGRAPHS), LONG, "z" * 3000 + " " + "ab1." * 2000, "".join(random.choices(" \n\tabAB12.,'é日", k=9000)), " " * 5000 + "word. " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    of = lambda size: sorted(map(tuple, S.split(df, "doc_id", "text", size=size).collect()))
+    whole = of(1 << 20)
+    assert of(1500) == whole
+    for _, _, start, end, n, text in whole:
+        assert n == len(truth.encode_ordinary(text)) <= S.LIMIT and end - start == len(text)
+
+
+def test_files_by_byte_ranges(spark, tmp_path):
+    text = "".join(PARAGRAPHS) + "é日𝛼" * 400 + " end. " * 500
+    (tmp_path / "a.txt").write_bytes(text.encode())
+    (tmp_path / "b.txt").write_bytes(b"")
+    paths = spark.createDataFrame([((tmp_path / f).as_uri(),) for f in ("a.txt", "b.txt")], "path string")
+    ranges = S.file_ranges(spark, paths, 3001)
+    assert "".join(r.part for r in ranges.orderBy("k").collect()) == text and ranges.count() > 5
+    got = sorted(tuple(r)[1:] for r in S.split_ranges(ranges, "path").collect())
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert got == sorted(tuple(r)[1:] for r in S.split(df, "doc_id", "text").collect())
