@@ -51,7 +51,7 @@ def extract(
     sents = X.with_abbreviations(sents, key, short)
     found = X.records(sents, [key, "el_idx", "sent_idx"], models, specifiers="specifiers", parsers=parsers, tokenizer=tokenizer, tagger=tagger, abbreviations="abbreviations")
     # a table's cells stand one sentence before its caption, from which they take what they lack
-    tables = X.table_records(els.where("el_type = 'Table'").select(key, "el_idx", F.lit(-1).alias("sent_idx"), "grid"), [key, "el_idx", "sent_idx"], "grid", models)
+    tables = X.table_records(els.where("el_type = 'Table'").select(key, "el_idx", F.lit(-1).alias("sent_idx"), "grid", "text"), [key, "el_idx", "sent_idx"], "grid", models, "text")
     every = found.unionByName(tables)
     if not merge:
         return every

@@ -5,11 +5,13 @@ Every function gives null for null unless it says otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,18 +301,82 @@ _ACCENTS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", "=": "\u
 _SYMBOLS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "aa": "å", "AA": "Å", "i": "ı", "j": "ȷ", "dh": "ð", "DH": "Ð", "th": "þ", "TH": "Þ", "degree": "°", "pm": "±", "times": "×", "cdot": "·", "rightarrow": "→", "leq": "≤", "geq": "≥", "approx": "≈", "sim": "∼", "infty": "∞", "partial": "∂", "circ": "∘", "textendash": "–", "textemdash": "—", "ldots": "…"}
 
 
-def _latex(text: str) -> str:
-    import re
+#: Greek letters whose commands differ from their names, and other commands by their Unicode names.
+_GREEK_FORMS = {"varepsilon": "ε", "epsilon": "ϵ", "vartheta": "ϑ", "varpi": "ϖ", "varrho": "ϱ", "varsigma": "ς", "varphi": "ϕ", "lambda": "λ", "Lambda": "Λ"}
+_BY_NAME = """
+leftarrow LEFTWARDS ARROW; to RIGHTWARDS ARROW; uparrow UPWARDS ARROW; downarrow DOWNWARDS ARROW; leftrightarrow LEFT RIGHT ARROW; updownarrow UP DOWN ARROW; Leftarrow LEFTWARDS DOUBLE ARROW;
+Rightarrow RIGHTWARDS DOUBLE ARROW; Leftrightarrow LEFT RIGHT DOUBLE ARROW; mapsto RIGHTWARDS ARROW FROM BAR; longrightarrow LONG RIGHTWARDS ARROW; longleftarrow LONG LEFTWARDS ARROW; rightleftharpoons RIGHTWARDS HARPOON OVER LEFTWARDS HARPOON;
+nearrow NORTH EAST ARROW; searrow SOUTH EAST ARROW; mp MINUS-OR-PLUS SIGN; div DIVISION SIGN; ast ASTERISK OPERATOR; star STAR OPERATOR; bullet BULLET OPERATOR; oplus CIRCLED PLUS; otimes CIRCLED TIMES; ominus CIRCLED MINUS;
+neq NOT EQUAL TO; ne NOT EQUAL TO; equiv IDENTICAL TO; simeq ASYMPTOTICALLY EQUAL TO; cong APPROXIMATELY EQUAL TO; propto PROPORTIONAL TO; ll MUCH LESS-THAN; gg MUCH GREATER-THAN; le LESS-THAN OR EQUAL TO; ge GREATER-THAN OR EQUAL TO;
+in ELEMENT OF; notin NOT AN ELEMENT OF; ni CONTAINS AS MEMBER; subset SUBSET OF; supset SUPERSET OF; subseteq SUBSET OF OR EQUAL TO; supseteq SUPERSET OF OR EQUAL TO; cup UNION; cap INTERSECTION; setminus SET MINUS; emptyset EMPTY SET;
+forall FOR ALL; exists THERE EXISTS; neg NOT SIGN; wedge LOGICAL AND; vee LOGICAL OR; nabla NABLA; int INTEGRAL; oint CONTOUR INTEGRAL; sum N-ARY SUMMATION; prod N-ARY PRODUCT; sqrt SQUARE ROOT; angle ANGLE; perp UP TACK; parallel PARALLEL TO;
+prime PRIME; dagger DAGGER; ddagger DOUBLE DAGGER; S SECTION SIGN; P PILCROW SIGN; copyright COPYRIGHT SIGN; pounds POUND SIGN; hbar PLANCK CONSTANT OVER TWO PI; ell SCRIPT SMALL L; Re BLACK-LETTER CAPITAL R; Im BLACK-LETTER CAPITAL I; aleph ALEF SYMBOL;
+AA LATIN CAPITAL LETTER A WITH RING ABOVE; textregistered REGISTERED SIGN; texttrademark TRADE MARK SIGN; textmu MICRO SIGN; textdegree DEGREE SIGN; guillemotleft LEFT-POINTING DOUBLE ANGLE QUOTATION MARK; guillemotright RIGHT-POINTING DOUBLE ANGLE QUOTATION MARK;
+textquoteleft LEFT SINGLE QUOTATION MARK; textquoteright RIGHT SINGLE QUOTATION MARK; textquotedblleft LEFT DOUBLE QUOTATION MARK; textquotedblright RIGHT DOUBLE QUOTATION MARK; vdots VERTICAL ELLIPSIS; cdots MIDLINE HORIZONTAL ELLIPSIS; langle MATHEMATICAL LEFT ANGLE BRACKET; rangle MATHEMATICAL RIGHT ANGLE BRACKET
+"""
+#: Commands of alphabets and the words with which Unicode names their letters.
+_ALPHABETS = {"mathbf": "MATHEMATICAL BOLD", "mathit": "MATHEMATICAL ITALIC", "mathsf": "MATHEMATICAL SANS-SERIF", "mathtt": "MATHEMATICAL MONOSPACE", "mathbb": "MATHEMATICAL DOUBLE-STRUCK", "mathcal": "MATHEMATICAL SCRIPT", "mathscr": "MATHEMATICAL SCRIPT", "mathfrak": "MATHEMATICAL FRAKTUR"}
+
+
+@lru_cache(maxsize=1)
+def latex_commands() -> dict[str, str]:
+    """The characters that LaTeX commands stand for, made from the names of Unicode: about 700 with all alphabets."""
+    out = {unicodedata.name(c).split()[-1].lower(): c for c in "αβγδεζηθικλμνξοπρστυφχψω"} | {unicodedata.name(c).split()[-1].capitalize(): c for c in "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
+    for line in _BY_NAME.replace("\n", " ").split(";"):
+        command, name = line.split(maxsplit=1)
+        out[command] = unicodedata.lookup(name.strip())
+    return out | _GREEK_FORMS | _SYMBOLS
+
+
+@lru_cache(maxsize=1024)
+def _styled(alphabet: str, letter: str) -> str:
+    """A letter in a mathematical alphabet; letters that older blocks of Unicode hold go by their names there."""
+    kind = _ALPHABETS[alphabet]
+    size = "CAPITAL" if letter.isupper() else "SMALL"
+    older = {"MATHEMATICAL SCRIPT": "SCRIPT", "MATHEMATICAL FRAKTUR": "BLACK-LETTER", "MATHEMATICAL DOUBLE-STRUCK": "DOUBLE-STRUCK"}.get(kind, "")
+    for name in (f"{kind} {size} {letter.upper()}", f"{older} {size} {letter.upper()}", f"{kind} DIGIT {unicodedata.name(letter).split()[-1]}"):
+        try:
+            return unicodedata.lookup(name)
+        except KeyError:
+            continue
+    return letter
+
+
+_RAISED = dict(zip("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"))
+_LOWERED = dict(zip("0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"))
 
-    names = {unicodedata.name(c).split()[-1].lower(): c for c in "αβγδεζηθικλμνξπρστυφχψω"} | {unicodedata.name(c).split()[-1].capitalize(): c for c in "ΓΔΘΛΞΠΣΥΦΨΩ"}
-    names |= {"lambda": "λ", "Lambda": "Λ"} | _SYMBOLS
+
+def _latex(text: str, capitalize: str | None = None) -> str:
+    names = latex_commands()
     s = re.sub(r"\\([`'^~=.\"]|[uvHcdbkr](?![A-Za-z]))\s*\{?\\?([A-Za-z])\}?", lambda m: unicodedata.normalize("NFC", m[2] + _ACCENTS[m[1]]), text)
+    s = re.sub(r"\\(" + "|".join(_ALPHABETS) + r")\s*(?:\{([^{}]*)\}|([A-Za-z0-9]))", lambda m: "".join(_styled(m[1], c) if c.isascii() and c.isalnum() else c for c in m[2] or m[3]), s)
     s = re.sub(r"\{?\\([A-Za-z]+)(?:\{\}|(?![A-Za-z]) ?)\}?", lambda m: names.get(m[1], m[0]), s)
+    for mark, table in (("^", _RAISED), ("_", _LOWERED)):  # only where every character has a form
+        s = re.sub(rf"(?<!\\)\{mark}(?:\{{([^{{}}]+)\}}|(\S))", lambda m, t=table: "".join(map(t.get, m[1] or m[2])) if set(m[1] or m[2]) <= set(t) else m[0], s)
     s = re.sub(r"\\([&%$#_{}])", r"\1", s).replace("---", "—").replace("--", "–").replace("~", " ")
-    return re.sub(r"[{}$]", "", s)
+    s = re.sub(r"[{}$]", "", s)
+    if capitalize == "name":  # parts of names, but the short ones in lower case between them
+        s = re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0] in ("van", "von", "der", "den", "de", "du", "la", "le", "di", "da") else m[0][:1].upper() + m[0][1:], s)
+    elif capitalize == "title":
+        small = {"a", "an", "the", "of", "and", "or", "in", "on", "for", "to", "by", "with", "at", "from", "as"}
+        s = re.sub(r"[^\W\d_]+(?:['’][^\W\d_]+)?", lambda m: m[0] if m[0] in small and m.start() else m[0][:1].upper() + m[0][1:], s)
+    return s
 
 
-@F.pandas_udf(T.StringType())
-def latex_to_unicode(s: pd.Series) -> pd.Series:
-    """LaTeX accents, letters and symbols as characters; braces and math signs go (Arrow-batched Python)."""
-    return s.map(lambda x: None if x is None else _latex(x))
+def latex_to_unicode(c: Column, capitalize: str | None = None) -> Column:
+    """LaTeX accents, letters, symbols, alphabets, raised and lowered digits as characters; braces and math signs go
+    (Arrow-batched Python). capitalize: 'name' or 'title' for what is written in lower case."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else _latex(x, capitalize))
+
+    return run(c)
+
+
+def with_clusters(words: DataFrame, word: str, clusters: DataFrame, prefixes: tuple[int, ...] = (4, 6, 10, 20)) -> DataFrame:
+    """Adds ``cluster``, the path of bits that a clustering of words (word, cluster) gives to the normalised word, and its begins of
+    some lengths; null for words in no cluster. Joined by Spark, which broadcasts the clusters if they are small."""
+    known = clusters.select(F.col("word").alias("_word"), "cluster").dropDuplicates(["_word"])
+    out = words.join(known, F.lower(F.col(word)) == F.col("_word"), "left").drop("_word")
+    return out.withColumns({f"cluster_{n}": F.substring("cluster", 1, n) for n in prefixes})

@@ -346,48 +346,89 @@ def cells(tables: DataFrame, keys: list[str], rows: str) -> DataFrame:
     return each.where("col_idx > 0").select(*keys, "row_idx", "col_idx", "data", F.array("_first").alias("row_cats"), F.array(F.get(F.col("_h"), F.col("col_idx"))).alias("col_cats"))
 
 
-def table_rows(grid: list[list[str]], models: list[Model]) -> Iterator[tuple[int, str, dict]]:
-    """(row, model, record): of each row one record for every column whose header names a model's property."""
+#: Headers of the column, or row, that names the compounds, and cells that hold no value.
+_NAMED_BY = re.compile(r"(?i)\b(?:compounds?|samples?|materials?|complex(?:es)?|names?|compositions?|entry|formula|substances?)\b")
+_NO_VALUE = re.compile(r"\s*(?:[-–—−]|n/?[ad]\.?|not (?:determined|given)|none|no name)?\s*", re.I)
+
+
+def _heads(grid: list[list[str]]) -> tuple[list[str], list[list[str]]]:
+    """(headers of the columns, body): all rows up to the first with a number in it beyond the first column are headers, which
+    are joined by column, repeated texts once. A row of one text in all columns in front of them is a title."""
+    n = next((i for i, r in enumerate(grid) if i and any(re.match(rf"\s*{VALUE}", c or "") for c in r[1:])), 1)
+    rows = [r for r in grid[:n] if len(set(r)) > 1 or len(r) == 1] or grid[:1]
+    width = max(map(len, rows))
+    return [" ".join(dict.fromkeys(c.strip() for r in rows if (c := r[j] if j < len(r) else "") and c.strip())) for j in range(width)], grid[n:]
+
+
+def _named(text: str | None) -> dict | None:
+    """The compound that a cell names, by a label or a name."""
+    name = (text or "").strip()
+    if not name or _NO_VALUE.fullmatch(name):
+        return None
+    return {"labels" if re.fullmatch(_LABEL, name) else "names": [name]}
+
+
+def table_rows(grid: list[list[str]], models: list[Model], caption: str | None = None) -> Iterator[tuple[int, str, dict]]:
+    """(row, model, record) of the cells of a table. The property stands in a column's header, or in a row's in
+    tables with a compound for each column, or in the caption where a header only has a unit; the unit in the cell,
+    its header or the caption; the compound in the column that says so, else in the first. Cells without a value give nothing."""
     if not grid:
         return
-    head, *body = grid
-    for model in models:
-        spec = model["specifier"].pattern if model.dimension is not None else None
-        if not spec:
-            continue
+    head, body = _heads(grid)
+    told = [m for m in models if is_quantity(m) and m["specifier"].pattern]
+    named = next((j for j, h in enumerate(head) if _NAMED_BY.search(h)), 0)
+    across = [(i, m) for i, r in enumerate(body) for m in told if r and re.search(rf"(?<!\w)(?:{m['specifier'].pattern})(?!\w)", r[0] or "")]
+    heads = {(j, m.name): x for j, h in enumerate(head) for m in told if (x := re.search(rf"(?<!\w)(?:{m['specifier'].pattern})(?!\w)", h or ""))}
+
+    def record(model: Model, cell: str, header: str, spec: str, compound: dict | None) -> dict | None:
         unit = unit_pattern(model.dimension)
+        v = re.match(rf"\s*({VALUE})\s*({unit})?" if unit else rf"\s*({VALUE})", cell or "")
+        if not v or _NO_VALUE.fullmatch(cell):
+            return None
+        own = v[2] if unit and v.lastindex and v.lastindex > 1 else None
+        for place in (header, caption or "") if unit and not own else ():
+            u = re.search(rf"(?<=[\s(/\[,]){unit}(?=[\s)\],]|$)", place)
+            own = own or (u[0] if u else None)
+        if unit and own is None:
+            return None
+        out = {"raw_value": v[1].strip(), "raw_units": own, "specifier": spec, "compound": compound}
+        return {k: x for k, x in out.items() if x is not None}
+
+    for model in told:
         for j, h in enumerate(head):
-            m = re.search(rf"(?<!\w)(?:{spec})(?!\w)", h or "")
-            if not m:
+            m = heads.get((j, model.name))
+            spec, rest = (m[0], h[m.end() :]) if m else (None, h)
+            if m is None and not heads and not across and j != named and caption and unit_pattern(model.dimension):
+                c = re.search(rf"(?<!\w)(?:{model['specifier'].pattern})(?!\w)", caption)
+                spec = c[0] if c and re.search(rf"(?:^|[\s(/\[]){unit_pattern(model.dimension)}(?=[\s)\]]|$)", h or "") else None
+                rest = " " + h
+            if spec is None:
                 continue
-            u = re.search(rf"(?<=[\s(/\[]){unit}(?=[\s)\]]|$)", h[m.end() :]) if unit else None
             for i, row in enumerate(body):
-                cell = row[j] if j < len(row) else ""
-                v = re.match(rf"\s*({VALUE})\s*({unit})?" if unit else rf"\s*({VALUE})", cell or "")
-                if not v:
-                    continue
-                own = v[2] if unit and v.lastindex and v.lastindex > 1 else None
-                record = {"raw_value": v[1].strip(), "raw_units": (own or (u[0] if u else None)), "specifier": m[0]}
-                if record["raw_units"] is None and unit:
-                    continue
-                name = (row[0] or "").strip() if j else ""
-                if name and not re.fullmatch(r"no name|[-–—]|n/?a", name, re.I):
-                    kind = "labels" if re.fullmatch(_LABEL, name) else "names"
-                    record["compound"] = {kind: [name]}
-                yield i, model.name, {k: x for k, x in record.items() if x is not None}
-
-
-def table_records(tables: DataFrame, keys: list[str], rows: str, models: list[Model]) -> DataFrame:
-    """The records of tables held as ARRAY<ARRAY<STRING>>; rec_idx counts within a table."""
+                found = record(model, row[j] if j < len(row) else "", rest, spec, _named(row[named]) if j != named and named < len(row) else None)
+                if found:
+                    yield i, model.name, found
+    for i, model in across if not heads else ():
+        row = body[i]
+        m = re.search(rf"(?<!\w)(?:{model['specifier'].pattern})(?!\w)", row[0])
+        for j in range(1, len(row)):
+            found = record(model, row[j], row[0][m.end() :], m[0], _named(head[j] if j < len(head) else None))
+            if found:
+                yield i, model.name, found
+
+
+def table_records(tables: DataFrame, keys: list[str], rows: str, models: list[Model], caption: str | None = None) -> DataFrame:
+    """The records of tables held as ARRAY<ARRAY<STRING>>; rec_idx counts within a table. caption: a column."""
     schema = ", ".join(f"`{k}` {tables.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for b in batches:
             out = []
-            for *key, grid in zip(*(b[c] for c in [*keys, rows])):
-                grid = [] if grid is None else [list(r) for r in grid]
-                for i, (_, model, record) in enumerate(table_rows(grid, models)):
+            for *key, grid, told in zip(*(b[c] for c in [*keys, rows, "_caption"])):
+                grid = [] if grid is None else [[c or "" for c in r] for r in grid]
+                for i, (_, model, record) in enumerate(table_rows(grid, models, told)):
                     out.append((*key, i, model, "auto_table", json.dumps(record, ensure_ascii=False), {"record": 1.0}))
             yield pd.DataFrame(out, columns=[*keys, "rec_idx", "model", "method", "payload", "confidence"])
 
-    return tables.select(*keys, rows).mapInPandas(run, f"{schema}, {RECORD}")
+    said = (F.col(caption) if caption else F.lit(None).cast("string")).alias("_caption")
+    return tables.select(*keys, rows, said).mapInPandas(run, f"{schema}, {RECORD}")

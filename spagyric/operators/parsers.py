@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from spagyric.operators.assign import nearest, Mention
+from spagyric.operators.assign import BEHIND, Mention
 from spagyric.operators.grammar import Node, Pattern, Token, tidy
 from spagyric.operators.tagging import Tagger, chemical_tags, regex_tagger
 from spagyric.operators.tokens import word_spans
@@ -141,7 +141,7 @@ class FieldParser:
             found = [x for x in self._found(f, sentence) if not any(a <= x[0] < b for a, b, _ in heads)]
             best: dict[int, tuple] = {}
             for a, b, v in found:
-                to = nearest(places, a, b)
+                to = min(places, key=lambda p: (max(a - p.end, 0) if a >= p.start else BEHIND * (p.start - b), p.start), default=None)
                 if to is None:
                     continue
                 i, d = int(to.text), max(a - to.end, to.start - b, 0)
@@ -160,3 +160,46 @@ class FieldParser:
                         records[i][f.name] = min(found, key=lambda x: max(x[0] - p.end, p.start - x[1], 0))[2]
         for r, d, e in zip(records, far, ends):
             yield r, round(1 / (1 + d / 50), 3), e
+
+
+@dataclass(frozen=True)
+class Question:
+    """A question about a field of a model. What stands in braces is filled with answers to earlier questions, so that it is only
+    asked where they are known: 'What is the melting point of {compound}?'"""
+
+    field: str
+    text: str
+
+
+@dataclass(frozen=True)
+class QuestionParser:
+    """Records by asking a reader of texts again and again: ``answer`` gives (text, score) pairs for a question about a
+    sentence. Every answer to a question makes a record of its own, which the next questions complete, for ``rounds`` at
+    most; answers below ``threshold`` count as none. Which reader is used is up to the caller, as none is in this package."""
+
+    model: Model
+    questions: tuple[Question, ...]
+    answer: Callable[[str, str], list[tuple[str, float]]]
+    threshold: float = 0.1
+    rounds: int = 5
+    trigger: tuple[str, ...] = ()
+
+    def parse(self, sentence: Sentence) -> Iterator[Found]:
+        partial: list[tuple[dict, float]] = [({}, 1.0)]
+        for _ in range(self.rounds):
+            new: list[tuple[dict, float]] = []
+            for known, sure in partial:
+                ask = next((q for q in self.questions if q.field not in known and set(re.findall(r"\{(\w+)\}", q.text)) <= {k for k, v in known.items() if v}), None)
+                if ask is None:
+                    new.append((known, sure))
+                    continue
+                found = [(t, c) for t, c in self.answer(ask.text.format(**known), sentence.text) if c >= self.threshold and t.strip()]
+                new += [({**known, ask.field: t.strip()}, sure * c) for t, c in found] or [({**known, ask.field: None}, sure)]
+            if new == partial:
+                break
+            partial = new
+        for record, sure in partial:
+            filled = {k: v for k, v in record.items() if v}
+            if filled:
+                nested = {k: {"names": [v]} if isinstance(self.model[k].kind, Model) and self.model[k].kind.name == "Compound" else v for k, v in filled.items()}
+                yield "questions", nested, round(sure, 3)

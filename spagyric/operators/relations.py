@@ -209,3 +209,21 @@ def associate(parents: list[tuple[int, int]], children: list[tuple[int, int]], h
             scored.sort()
             out.append((c, scored[0][2], 1.0 if len(scored) == 1 else 1 / (1 + scored[0][0] / scored[1][0])))
     return out
+
+
+def associated(sentences: DataFrame, keys: list[str], parents: str, children: str, heads: str) -> DataFrame:
+    """(keys, child_idx, parent_idx, confidence): ``associate`` for every sentence. parents and children: columns of
+    ARRAY<STRUCT<start, end>> in words; heads: ARRAY<INT> from any dependency parser, -1 at the root. Null and empty ones
+    give no rows."""
+    schema = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys)
+    spans = lambda x: [(int(e["start"]), int(e["end"])) for e in x]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for *key, ps, cs, hs in zip(*(b[c] for c in [*keys, parents, children, heads])):
+                if ps is not None and cs is not None and hs is not None and len(hs):
+                    out += [(*key, *x) for x in associate(spans(ps), spans(cs), [int(h) for h in hs])]
+            yield pd.DataFrame(out, columns=[*keys, "child_idx", "parent_idx", "confidence"])
+
+    return sentences.select(*keys, parents, children, heads).mapInPandas(run, f"{schema}, child_idx int, parent_idx int, confidence double")

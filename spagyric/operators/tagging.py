@@ -184,6 +184,91 @@ class Perceptron:
         return cls(**json.loads(text))
 
 
+class Chain:
+    """A linear chain of tags with conditional probabilities: the probability of all tags of a sentence together, given features
+    of its words. Trained by the gradient of the log-likelihood (forward and backward sums), decoded by the best path; tags
+    that can't follow each other (I- behind O) never do."""
+
+    def __init__(self, tags: Sequence[str] = (), weights: dict[str, list[float]] | None = None, moves: list[list[float]] | None = None):
+        self.tags, self.weights, self.moves = list(tags), weights or {}, moves
+
+    @staticmethod
+    def features(ws: Sequence[str], i: int) -> list[str]:
+        w = ws[i]
+        near = lambda k: ws[k].lower() if 0 <= k < len(ws) else "-edge-"
+        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"\d", "d", w))))
+        return ["bias", "w " + w.lower(), "p3 " + w[:3].lower(), "s3 " + w[-3:].lower(), "s4 " + w[-4:].lower(), "sh " + shape, "w-1 " + near(i - 1), "w+1 " + near(i + 1)]
+
+    def allowed(self):
+        import numpy as np
+
+        return np.array([[not b.startswith("I-") or a[2:] == b[2:] and a[:2] in ("B-", "I-") for b in self.tags] for a in self.tags])
+
+    def _scores(self, ws: Sequence[str]):
+        import numpy as np
+
+        zero = np.zeros(len(self.tags))
+        out = np.array([sum((self.weights.get(f, zero) for f in self.features(ws, i)), zero) for i in range(len(ws))])
+        out[0] = np.where([t.startswith("I-") for t in self.tags], -1e9, out[0])
+        return out
+
+    def train(self, data: list[tuple[list[str], list[str]]], rounds: int = 10, rate: float = 0.2, decay: float = 1e-4, seed: int = 1) -> "Chain":
+        """data: a bounded sample of tagged sentences."""
+        import numpy as np
+
+        self.tags = sorted({t for _, ts in data for t in ts})
+        n, at = len(self.tags), {t: i for i, t in enumerate(self.tags)}
+        weights: dict = defaultdict(lambda: np.zeros(n))
+        moves, off = np.zeros((n, n)), np.where(self.allowed(), 0.0, -1e9)
+        log_sum = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
+        self.weights, order = weights, random.Random(seed)
+        for k in range(rounds):
+            step = rate / (1 + k)
+            order.shuffle(data := list(data))
+            for ws, ts in data:
+                if not ws:
+                    continue
+                e, t = self._scores(ws), moves + off
+                ahead, back = [e[0]], [np.zeros(n)]
+                for row in e[1:]:
+                    ahead.append(log_sum(ahead[-1][:, None] + t, 0) + row)
+                for row in e[:0:-1]:
+                    back.append(log_sum(t + (row + back[-1])[None, :], 1))
+                back.reverse()
+                whole = log_sum(ahead[-1], 0)
+                gold = [at[x] for x in ts]
+                for i in range(len(ws)):
+                    change = -np.exp(ahead[i] + back[i] - whole)
+                    change[gold[i]] += 1
+                    for f in self.features(ws, i):
+                        weights[f] = weights[f] * (1 - decay * step) + step * change
+                    if i:
+                        both = -np.exp(ahead[i - 1][:, None] + t + (e[i] + back[i])[None, :] - whole)
+                        both[gold[i - 1], gold[i]] += 1
+                        moves += step * both
+        self.weights, self.moves = {f: w.round(4).tolist() for f, w in weights.items()}, moves.round(4).tolist()
+        return self._ready()
+
+    def _ready(self) -> "Chain":
+        import numpy as np
+
+        self.weights = {f: np.asarray(w) for f, w in self.weights.items()}
+        return self
+
+    def __call__(self, ws: Sequence[str]) -> list[str]:
+        if not len(ws):
+            return []
+        path, _ = viterbi(self._scores(ws), self.moves, self.allowed())
+        return [self.tags[i] for i in path]
+
+    def dumps(self) -> str:
+        return json.dumps({"tags": self.tags, "weights": {f: list(map(float, w)) for f, w in self.weights.items()}, "moves": self.moves})
+
+    @classmethod
+    def loads(cls, text: str) -> "Chain":
+        return cls(**json.loads(text))._ready()
+
+
 def tag_dictionary(tagged: DataFrame, word: str, tag: str, least: int = 20, share: float = 0.97) -> DataFrame:
     """(word, tag) of words with nearly always one tag, counted over the whole corpus."""
     counts = tagged.groupBy(word, tag).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ no reader recognises, and null contents, give no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -46,6 +47,7 @@ class Profile:
     ignore: str = "nav, footer, header, script, style, aside"
     reference: str = "a[href^=\"#\"]"
     metadata: dict = field(default_factory=dict)
+    mend: tuple[Callable[[Node], None], ...] = ()  # changes to the tree before it is read
 
 
 _META = {
@@ -81,49 +83,115 @@ READERS: list[Profile] = [
 ]
 
 
+#: The most columns that one cell spans: the limit of the HTML standard, which also bounds the work of broken markup.
+WIDEST = 1000
+
+
+def named_columns(table: Node) -> tuple[dict[str, int], dict[str, tuple[str, str]]]:
+    """The positions of the columns that an XML table names, and the spans it names."""
+    columns: dict[str, int] = {}
+    at = -1
+    for n in table.walk():
+        if n.tag.rpartition(":")[2] == "colspec":
+            at = int(n.attrs["colnum"]) - 1 if n.attrs.get("colnum", "").isdigit() else at + 1
+            columns.setdefault(n.attrs.get("colname", f"#{at}"), at)
+    spans = {n.attrs["spanname"]: (n.attrs.get("namest", ""), n.attrs.get("nameend", "")) for n in table.walk() if n.tag.rpartition(":")[2] == "spanspec" and "spanname" in n.attrs}
+    return columns, spans
+
+
 def grid_of(table: Node, p: Profile) -> list[list[str]]:
-    """A table's rows with spans written out, ragged rows padded, empty ones left out."""
+    """A table's rows with spans written out, ragged rows padded, empty ones left out. Spans are counted in rows and columns,
+    or go from one named column to another, which also places a cell behind columns left out."""
     rows: list[list[str]] = []
-    hanging: dict[int, tuple[int, str]] = {}
+    columns, spans = named_columns(table)
+    open_: dict[int, tuple[int, str]] = {}  # column -> rows still to fill, text
+
+    def number(c: Node, name: str, default: int = 1) -> int:
+        return int(c.attrs[name]) if c.attrs.get(name, "").isdigit() else default
+
     for tr in select(table, p.table_row):
-        cells, out = [c for c in select(tr, p.table_cell)], []
-
-        def hang(out=None):
-            while len(out) in hanging:
-                left, text = hanging.pop(len(out))
-                if left > 1:
-                    hanging_next[len(out)] = (left - 1, text)
-                out.append(text)
-
-        hanging_next: dict[int, tuple[int, str]] = {}
-        for c in cells:
-            hang(out)
-            number = lambda a, c=c: int(c.attrs[a]) if c.attrs.get(a, "").isdigit() else 1
-            text, wide = text_of(c), number("colspan")
-            if c.attrs.get("morerows", "").isdigit():
-                down = int(c.attrs["morerows"]) + 1
-            else:
-                down = number("rowspan")
-            for _ in range(min(wide, 1000)):
+        below = {at: (n - 1, text) for at, (n, text) in open_.items() if n > 1}
+        row = {at: text for at, (_, text) in open_.items()}
+        at = 0
+        for c in select(tr, p.table_cell):
+            first, last = spans.get(c.attrs.get("spanname", ""), (c.attrs.get("namest", c.attrs.get("colname", "")), c.attrs.get("nameend", "")))
+            if first in columns:
+                at = max(at, columns[first])
+            while at in row:
+                at += 1
+            wide = columns[last] - columns[first] + 1 if first in columns and last in columns else min(number(c, "colspan"), WIDEST)
+            down = number(c, "morerows", 0) + 1 if "morerows" in c.attrs else number(c, "rowspan")
+            text = text_of(c)
+            for _ in range(max(1, wide)):
                 if down > 1:
-                    hanging_next[len(out)] = (down - 1, text)
-                out.append(text)
-        hang(out)
-        hanging = {**hanging, **hanging_next}
-        rows.append(out)
+                    below[at] = (down - 1, text)
+                row[at] = text
+                at += 1
+        open_ = below
+        rows.append([row.get(i, "") for i in range(max(row, default=-1) + 1)])
     width = max(map(len, rows), default=0)
     return [r + [""] * (width - len(r)) for r in rows if any(r)]
 
 
+# --- trees of single publishers, mended before they are read -----------------------------------------------------------------
+
+
+def captions_into_tables(tree: Node) -> None:
+    """A caption that stands in front of its table's wrapper goes into the table."""
+    for n in list(tree.walk()):
+        if "table_caption" in n.attrs.get("class", "").split() and n.parent is not None:
+            around = n.parent.elements()
+            i = next(i for i, x in enumerate(around) if x is n)
+            if i + 1 < len(around) and "rtable__wrapper" in around[i + 1].attrs.get("class", "").split():
+                n.parent.children = [x for x in n.parent.children if x is not n]
+                into = next((x for x in around[i + 1].walk() if x.tag == "table"), around[i + 1])
+                n.tag, n.parent = "caption", into
+                into.children.insert(0, n)
+
+
+def blanks_dropped(tree: Node) -> None:
+    """Line breaks in texts are blanks, and texts of nothing but white space go, except in bold type."""
+    for n in tree.walk():
+        if n.tag != "b":
+            n.children = [c if isinstance(c, Node) else c.replace("\n", " ") for c in n.children if isinstance(c, Node) or not c.isspace()]
+
+
+def images_as_characters(tree: Node) -> None:
+    """Images of single characters, named by their code points, become the characters."""
+    for n in tree.walk():
+        for i, c in enumerate(n.children):
+            if isinstance(c, Node) and c.tag == "img" and (m := re.search(r"/images/entities/(?:\w+_)*char_([0-9a-f]{4})(?:_([0-9a-f]{4}))?\.gif", c.attrs.get("src", ""))):
+                n.children[i] = "".join(chr(int(x, 16)) for x in m.groups() if x)
+
+
+def references_spaced(tree: Node) -> None:
+    """A raised reference link is followed by a blank, so that words stay apart when it goes."""
+    for n in list(tree.walk()):
+        if n.tag == "a" and n.parent is not None and any("sup_ref" in x.attrs.get("class", "").split() for x in n.walk()):
+            siblings = n.parent.children
+            i = next(i for i, x in enumerate(siblings) if x is n)
+            if i + 1 < len(siblings) and isinstance(siblings[i + 1], str) and siblings[i + 1][:1] not in ("", ")", ",", " ", "."):
+                siblings[i + 1] = " " + siblings[i + 1]
+
+
 def elements_of(text: str, p: Profile) -> list[tuple]:
     """(el_type, el_id, refs, text, label, links, grid) in document order."""
     tree = parse(text, p.xml)
+    for step in p.mend:
+        step(tree)
     roots = [r for r in select(tree, p.root)][:1] if p.root != "*" else [tree]
     root = cleaned(roots[0] if roots else tree, kill=tuple(x.strip() for x in p.ignore.split(",")))
     kinds: dict[int, str] = {}
     for kind in ("paragraph", "heading", "title", "citation", "footnote", "figure", "table"):  # the last wins
         for n in select(root, getattr(p, kind)):
             kinds[id(n)] = kind
+    holding: set[int] = set()  # what has an element of some kind in it
+    for n in root.walk():
+        if id(n) in kinds:
+            up = n
+            while up is not None and id(up) not in holding:
+                holding.add(id(up))
+                up = up.parent
     out: list[tuple] = []
     loose: list[str] = []
 
@@ -143,7 +211,7 @@ def elements_of(text: str, p: Profile) -> list[tuple]:
             if c.tag == "br":
                 loose.append("\n\n\x00")
             elif kind is None:
-                block = c.tag in ("div", "section", "article", "body", "sec", "ul", "ol", "front", "back", "abstract") or any(id(n) in kinds for n in c.walk())
+                block = c.tag in ("div", "section", "article", "body", "sec", "ul", "ol", "front", "back", "abstract") or id(c) in holding
                 if block:
                     flush()
                 walk(c)
@@ -184,6 +252,9 @@ def elements_of(text: str, p: Profile) -> list[tuple]:
     return out
 
 
+READERS = [replace(p, mend=(captions_into_tables, blanks_dropped, images_as_characters, references_spaced)) if p.name == "rsc" else replace(p, footnote="tfoot entry, table tfoot, tfoot td", mend=()) if p.name == "uspto" else p for p in READERS]
+
+
 def metadata_of(text: str, p: Profile) -> dict:
     """The fields of METADATA; authors is a list, the others are the first text found, or None."""
     tree = parse(text, p.xml)
@@ -202,7 +273,7 @@ def decoded(content: bytes | str | None) -> str | None:
     try:
         return bytes(content).decode("utf-8-sig")
     except UnicodeDecodeError:
-        m = re.search(rb"(?:charset|encoding)=[\"']?([\w-]+)", bytes(content)[:2048])
+        m = re.search(rb"(?:charset|encoding)=[\"']?([\w-]+)", bytes(content))
         for name in ([m[1].decode()] if m else []) + ["cp1252", "latin-1"]:
             try:
                 return bytes(content).decode(name)
@@ -228,8 +299,15 @@ def plain_elements(text: str) -> list[tuple]:
     return [("Paragraph", None, [], t, None, [], None) for t in (x.strip() for x in parts) if t]
 
 
-def elements(docs: DataFrame, key: str = "doc_id", content: str = "content", name: str | None = None, readers: list[Profile] | None = None) -> DataFrame:
-    """The element layer of documents held as text or bytes. name: a column of file names."""
+#: From the bytes of a document in a binary format to its text, or to its elements.
+Decoder = Callable[[bytes], "str | list[tuple]"]
+
+
+def elements(docs: DataFrame, key: str = "doc_id", content: str = "content", name: str | None = None, readers: list[Profile] | None = None, decoders: dict[bytes, Decoder] | None = None) -> DataFrame:
+    """The element layer of documents held as text or bytes. name: a column of file names. decoders: for binary formats,
+    by the bytes with which they begin (b'%PDF'); without one such documents have no elements. A decoder gives a
+    text, which is then read like any other, or elements as tuples in the order of ``ELEMENT`` without the index; one that
+    fails leaves the document without elements."""
     kind = docs.schema[key].dataType.simpleString()
     columns = [key, content, *([name] if name else [])]
 
@@ -237,8 +315,19 @@ def elements(docs: DataFrame, key: str = "doc_id", content: str = "content", nam
         for b in batches:
             out = []
             for row in zip(*(b[c] for c in columns)):
+                raw = row[1].encode() if isinstance(row[1], str) else b"" if row[1] is None else bytes(row[1])
+                decoder = next((f for magic, f in (decoders or {}).items() if raw.startswith(magic)), None)
+                if decoder is not None:
+                    try:
+                        made = decoder(raw)
+                    except Exception:  # whatever a foreign decoder raises
+                        continue
+                    if not isinstance(made, str):
+                        out += [(row[0], i, *e) for i, e in enumerate(made or ())]
+                        continue
+                    row = (row[0], made, *row[2:])
                 text = decoded(row[1])
-                if not text or text.startswith("%PDF"):  # binary formats need a decoder in front
+                if not text or text.startswith("%PDF"):
                     continue
                 file = row[2] if name else None
                 profile = reader_for(text, file, readers)
@@ -275,6 +364,27 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("name"), "content")
 
 
+def tagged_corpus(spark: SparkSession, path: str, form: str = "slash") -> DataFrame:
+    """(name, sent_idx, tokens ARRAY<STRUCT<text, tag>>) of corpora of tagged words. form: 'slash' has one sentence a line, its
+    words as word/TAG; 'columns' one word a line, word and tag parted by a tab or blanks, sentences by empty lines; 'brackets'
+    has trees, of which the leaves '(TAG word)' are taken, sentences parted by empty lines."""
+    texts = read_files(spark, path).select("name", F.col("content").cast("string").alias("text"))
+    block = r"\r?\n" if form == "slash" else r"\r?\n\s*\r?\n"
+    rows = texts.select("name", F.posexplode(F.split("text", block)).alias("sent_idx", "line")).where(F.trim("line") != "")
+    pair = {"slash": r"(\S+)/([^\s/]+)", "columns": r"(?m)^(\S+)[\t ]+(\S+)", "brackets": r"\(([^\s()]+) ([^\s()]+)\)"}[form]
+    first, second = (F.regexp_extract_all("line", F.lit(pair), F.lit(i)) for i in ((2, 1) if form == "brackets" else (1, 2)))
+    return rows.select("name", "sent_idx", F.arrays_zip(first.alias("text"), second.alias("tag")).alias("tokens"))
+
+
+def annotated_corpus(spark: SparkSession, texts: str, annotations: str) -> DataFrame:
+    """(id, section, start, end, text, kind) of tab-separated annotations (id, section, start, end, text, kind) that fit the texts
+    (id, title, abstract) they refer to."""
+    docs = spark.read.csv(texts, sep="\t", quote="", schema="id string, title string, abstract string")
+    notes = spark.read.csv(annotations, sep="\t", quote="", schema="id string, section string, start int, end int, text string, kind string")
+    body = F.when(F.col("section") == "T", F.col("title")).otherwise(F.col("abstract"))
+    return notes.join(docs, "id").where(F.substring(body, F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")).select(*notes.columns)
+
+
 def csv_tables(spark: SparkSession, path: str) -> DataFrame:
     """(name, grid) of CSV files, each one table, its lines in order."""
     files = read_files(spark, path, "*.csv")

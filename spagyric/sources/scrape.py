@@ -122,6 +122,21 @@ JATS_DOCUMENT = Entity({
 })
 
 
+_PERSON = Entity({"first": Field("fnm, ce|given-name"), "last": Field("snm, ce|surname"), "email": Field("email, ce|e-address")})
+#: The entities of single publishers: what differs from the common ones.
+RSC_DOCUMENT = Entity(DOCUMENT.fields | {"title": Field(".title_heading, h1, meta[name=\"citation_title\"]::attr(content)"), "abstract": Field(".abstract, meta[name=\"citation_abstract\"]::attr(content)"), "headings": Field(".a_heading, .b_heading, h2, h3", all=True), "figures": Field(".image_title, figcaption", all=True)})
+SPRINGER_DOCUMENT = Entity(DOCUMENT.fields | {"title": Field("meta[property=\"og:title\"]::attr(content), h1"), "abstract": Field("section.Abstract > p, div.AbstractSection > p"), "html_url": Field(_M("citation_fulltext_html_url", "citation_abstract_html_url"), kind="url")})
+SPRINGER_XML = Entity({"doi": Field("doi, ArticleDOI"), "title": Field("ArticleTitle, article-title, atl"), "authors": Field("au, Author", kind=_PERSON, all=True), "journal": Field("JournalTitle, jtl"), "volume": Field("VolumeIDStart, vid"), "issue": Field("IssueIDStart, iid"), "abstract": Field("Abstract Para, abs p")})
+ELSEVIER_DOCUMENT = Entity({"doi": Field("prism|doi, ce|doi"), "title": Field("dc|title, ce|title"), "authors": Field("ce|author", kind=_PERSON, all=True), "journal": Field("prism|publicationName"), "volume": Field("prism|volume"), "issue": Field("prism|number"), "firstpage": Field("prism|startingPage"), "lastpage": Field("prism|endingPage"), "published_date": Field("prism|coverDate"), "publisher": Field("prism|publisher"), "issn": Field("prism|issn"), "copyright": Field("prism|copyright, ce|copyright"), "abstract": Field("dc|description, ce|abstract-sec"), "headings": Field("ce|section-title", all=True)})
+#: The entries of feeds and of result pages, the half of a search that needs no network.
+FEED_ITEM = Entity({"title": Field("title"), "link": Field("link"), "doi": Field("prism|doi, dc|identifier", match=r"(10\.\d+/\S+)"), "published_date": Field("pubDate, prism|publicationDate, dc|date"), "description": Field("description")})
+
+
+def feed_items(pages: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, fields of ``FEED_ITEM``) of every entry of RSS and Atom documents."""
+    return scrape(pages, key, xml, FEED_ITEM, roots="item, entry", xml=True)
+
+
 def scrape(pages: DataFrame, key: str, html: str, entity: Entity = DOCUMENT, roots: str | None = None, xml: bool = False, kill: tuple[str, ...] = ()) -> DataFrame:
     """(key, fields) of every page, or of every root selected in it. Null pages give no rows."""
     kind = pages.schema[key].dataType.simpleString()

@@ -275,8 +275,8 @@ def quantity_model(name: str, dimension: U.Dimension, specifier: str | None = No
     return base.extend(name, spec, *fields, dimension=dimension, triggers=triggers)
 
 
-MELTING_POINT = quantity_model("MeltingPoint", U.TEMPERATURE, r"melting (?:points?|range|temperature)|m\.?\s?pt?\.?|m\. ?p\.|Mp|Tm", *_SETTING[:1], *_SETTING[3:], _WITH, _OF, triggers=("melting", "mp", "m.p", "m.pt", "mpt", "Tm", "m. p"))
-GLASS_TRANSITION = quantity_model("GlassTransition", U.TEMPERATURE, r"glass[- ]transition(?: temperature)?|Tg", Field("method", contextual=True), _OF, triggers=("glass", "Tg"))
+MELTING_POINT = quantity_model("MeltingPoint", U.TEMPERATURE, r"[Mm]elting (?:points?|range|temperature)|m\.?\s?pt?\.?|m\. ?p\.|Mp|Tm", *_SETTING[:1], *_SETTING[3:], _WITH, _OF, triggers=("melting", "mp", "m.p", "m.pt", "mpt", "Tm", "m. p"))
+GLASS_TRANSITION = quantity_model("GlassTransition", U.TEMPERATURE, r"[Gg]lass[- ]transition(?: temperature)?|Tg", Field("method", contextual=True), _OF, triggers=("glass", "Tg"))
 CURIE_TEMPERATURE = quantity_model("CurieTemperature", U.TEMPERATURE, r"Curie(?: transition)? temperatures?|Tc|TC", _OF, triggers=("Curie", "Tc"))
 NEEL_TEMPERATURE = quantity_model("NeelTemperature", U.TEMPERATURE, r"N[eé]el temperatures?|TN", _OF, triggers=("Neel", "Néel", "TN"))
 INTERATOMIC_DISTANCE = quantity_model("InteratomicDistance", U.LENGTH, r"[A-Z][a-z]?[-–−][A-Z][a-z]?", _OF)

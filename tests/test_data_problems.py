@@ -180,3 +180,30 @@ def test_shredding_levels():
 def test_shredding_of_no_rows(spark):
     assert D.shred(spark.createDataFrame([], RAW), "rec_id", "payload").count() == 0
     assert D.shred(spark.createDataFrame([(1, None, "", "")], RAW), "rec_id", "payload").where(F.lit(True)).count() == 0
+
+
+def test_places_of_units_are_read_whole(spark):
+    """A spelling of any length, a unit far behind in a sentence, and field and value that say something else."""
+    spelled = "degrees" + "-" * 16 + " fahrenheit"
+    mp = spark.createDataFrame([(1, 1, 0, 0, "90", spelled, "mp", "", ""), (2, 1, 0, 1, "91", "n/a", "mp", "", ""), (3, 1, 0, 2, "120 (subl.)", None, "mp", "", ""), (4, 1, 0, 3, "50", None, "mp", "", "")], MP)
+    sent = spark.createDataFrame([(1, 0, 1, "A mp of 91 °C.", ""), (1, 0, 2, "mp 120 (subl.) °C", ""), (1, 0, 3, "The mp was 50" + " " * 60 + "°C here.", "")], SENT)
+    nmr = spark.createDataFrame([], NMR)
+    assert rows(Q.not_common(Q.quantities(mp, sent, nmr)), "rec_id", "unit") == {(1, "F"), (2, "C"), (3, "C"), (4, "C")}
+
+
+def test_members_by_definition_levels():
+    """Levels alone tell which members there are; values aren't looked at."""
+    s = D.Shredder()
+    s.add([json.loads(PAYLOADS[0])])
+    for values, _, _ in s.columns.values():
+        values[:] = ["?"] * len(values)
+    assert s.members("peaks").tolist() == [[0, 0], [0, 4]] and s.members("peaks/coupling").tolist() == [[0, 0, 0], [0, 0, 2]]
+    s.columns["peaks/coupling/value"][2][0] -= 1
+    assert s.members("peaks/coupling").tolist() == [[0, 0, 2]]
+
+
+def test_zone_is_estimated_against_a_wrong_declaration(spark):
+    stated = [("Odd Press", f"2019-0{m}-1{d}T10:00:00{'-05:00' if m < 3 else '-04:00'}") for m in range(1, 8) for d in range(3)]
+    declared = (("Odd Press", "Europe/London", "dmy"), ("York Press", "America/New_York", "mdy"))
+    assert normal(spark, [*stated, ("Odd Press", "2019-07-01 12:00:00")], declared)[21] == ("2019-07-01T16:00:00Z", "second")
+    assert normal(spark, [*stated[:3], ("Odd Press", "2019-07-01 12:00:00")], declared)[3] == ("2019-07-01T11:00:00Z", "second")
