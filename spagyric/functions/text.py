@@ -346,13 +346,19 @@ _RAISED = dict(zip("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽
 _LOWERED = dict(zip("0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"))
 
 
+def _moved(math: str) -> str:
+    """Raised and lowered digits and signs of a formula, where every character has such a form."""
+    for mark, table in (("^", _RAISED), ("_", _LOWERED)):
+        math = re.sub(rf"(?<!\\)\{mark}(?:\{{([^{{}}]+)\}}|(\S))", lambda m, t=table: "".join(map(t.get, m[1] or m[2])) if set(m[1] or m[2]) <= set(t) else m[0], math)
+    return math
+
+
 def _latex(text: str, capitalize: str | None = None) -> str:
     names = latex_commands()
     s = re.sub(r"\\([`'^~=.\"]|[uvHcdbkr](?![A-Za-z]))\s*\{?\\?([A-Za-z])\}?", lambda m: unicodedata.normalize("NFC", m[2] + _ACCENTS[m[1]]), text)
     s = re.sub(r"\\(" + "|".join(_ALPHABETS) + r")\s*(?:\{([^{}]*)\}|([A-Za-z0-9]))", lambda m: "".join(_styled(m[1], c) if c.isascii() and c.isalnum() else c for c in m[2] or m[3]), s)
     s = re.sub(r"\{?\\([A-Za-z]+)(?:\{\}|(?![A-Za-z]) ?)\}?", lambda m: names.get(m[1], m[0]), s)
-    for mark, table in (("^", _RAISED), ("_", _LOWERED)):  # only where every character has a form
-        s = re.sub(rf"(?<!\\)\{mark}(?:\{{([^{{}}]+)\}}|(\S))", lambda m, t=table: "".join(map(t.get, m[1] or m[2])) if set(m[1] or m[2]) <= set(t) else m[0], s)
+    s = re.sub(r"(?<!\\)\$([^$]*)\$", lambda m: _moved(m[1]), s)
     s = re.sub(r"\\([&%$#_{}])", r"\1", s).replace("---", "—").replace("--", "–").replace("~", " ")
     s = re.sub(r"[{}$]", "", s)
     if capitalize == "name":  # parts of names, but the short ones in lower case between them

@@ -71,7 +71,7 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Spellings in which units are rendered, none of them literally in the dictionary but the first of each.
-_SPELLED = {"K": ["K", " kelvins", "° K"], "C": ["°C", " deg. C", "oC", " degrees Celsuis", " ℃"], "F": ["°F", " degr. F", " Farenheit"], "MK": [" mK", " milli-kelvin"]}
+_SPELLED = {"K": ["K", " kelvins", "° K"], "C": ["°C", " deg. C", "oC", " degrees Celsuis", " ℃"], "F": ["°F", " deg. F", " Farenheit"], "MK": [" mK", " milli-kelvin"]}
 
 
 def p2_rendered(spark: SparkSession, d: str) -> DataFrame:

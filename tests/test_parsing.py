@@ -124,3 +124,22 @@ def test_rank_and_pools(spark):
     pool = lambda p: [x and round(x, 3) for (x,) in df.select(pooled_confidence(F.col("confidence"), p)).collect()]
     assert (pool("least"), pool("mean"), pool("product"), pool(F.array_max)) == ([0.5, 0.8, None], [0.75, 0.85, None], [0.5, 0.72, None], [1.0, 0.9, None])
     assert df.select(merged_confidence(F.col("confidence"), F.create_map(F.lit("a"), F.lit(0.6))).alias("m")).first().m == {"a": 0.5, "b": 1.0}
+
+
+def test_latex(spark):
+    from spagyric.functions.text import latex_commands, latex_to_unicode
+
+    cases = {"\\mathbb{R}^2 $x^{2+}_{10}$ a_1": "ℝ^2 x²⁺₁₀ a_1", "\\Rightarrow \\neq \\varphi": "⇒≠ϕ", "$\\mathcal{B}\\mathbf{a1}$": "ℬ𝐚𝟏", "M\\\"{u}ller": "Müller"}
+    df = spark.createDataFrame(list(cases.items()), "a string, b string")
+    assert [(r.got, r.b) for r in df.select("b", latex_to_unicode(F.col("a")).alias("got")).collect() if r.got != r.b] == []
+    low = spark.createDataFrame([("ludwig van beethoven", "the end of an era")], "a string, b string")
+    assert tuple(low.select(latex_to_unicode(F.col("a"), "name"), latex_to_unicode(F.col("b"), "title")).first()) == ("Ludwig van Beethoven", "The End of an Era")
+    assert len(latex_commands()) > 150
+
+
+def test_word_clusters(spark):
+    from spagyric.functions.text import with_clusters
+
+    words = spark.createDataFrame([("Acid",), ("none",)], "w string")
+    out = with_clusters(words, "w", spark.createDataFrame([("acid", "0110101")], "word string, cluster string"), (2, 4))
+    assert {tuple(r) for r in out.collect()} == {("Acid", "0110101", "01", "0110"), ("none", None, None, None)}
