@@ -112,8 +112,13 @@ def mixture(counts: DataFrame, weights: DataFrame, seed: int = 0, per_bucket: in
     spark = counts.sparkSession
     if "sources" not in counts.columns:
         counts = counts.withColumn("sources", F.array("source"))
-    rows = counts.where("n_tokens > 0").select("doc_id", F.concat_ws("\x1f", F.array_sort(F.array_distinct("sources"))).alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("at"))
-    listed = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in weights.collect() if r["source"] is not None}
+    listed = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in weights.collect() if r["source"] is not None}  # a dimension
+    schema = "doc_id bigint, source string, n_tokens bigint, copies bigint"
+    if not listed:
+        return spark.createDataFrame([], schema)
+    # patterns are sets of listed sources, so there are no more of them than the dimension has subsets
+    known = F.array_sort(F.array_intersect("sources", F.array(*map(F.lit, sorted(listed)))))
+    rows = counts.where("n_tokens > 0").select("doc_id", F.concat_ws("\x1f", known).alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("at")).where("pattern <> ''")
     totals = rows.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()  # one row for each set of sources
     capacity = {tuple(r["pattern"].split("\x1f")): float(r["tokens"]) for r in totals}
     flows = route(capacity, {s: w for s, (w, _) in listed.items()}, {s: m for s, (_, m) in listed.items()})
@@ -122,13 +127,12 @@ def mixture(counts: DataFrame, weights: DataFrame, seed: int = 0, per_bucket: in
         a = begun.get(pattern, 0.0)
         begun[pattern] = a + n
         arcs.append(("\x1f".join(pattern), source, a, a + n, capacity[pattern]))
-    schema = "doc_id bigint, source string, n_tokens bigint, copies bigint"
     if not arcs:
         return spark.createDataFrame([], schema)
     buckets = max(1, max(r["n"] for r in totals) // per_bucket)
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("at", 20), F.lit(buckets)))
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("size"))
-    sums = sums.selectExpr("*", "sum(size) over (partition by pattern order by bucket) - size as begin")  # buckets only, no documents
+    sums = begun_at(sums)
     arc = spark.createDataFrame(arcs, "pattern string, source string, a double, b double, ring double")
     passes = lambda x, c: F.ceil((x - c) / F.col("ring"))
     copies = lambda c: (passes(F.col("b"), c) - passes(F.col("a"), c)).cast("bigint")
@@ -143,6 +147,15 @@ def mixture(counts: DataFrame, weights: DataFrame, seed: int = 0, per_bucket: in
     return all_.unionByName(some.select("doc_id", "source", "n_tokens", "copies"))
 
 
+def begun_at(sums: DataFrame, width: int = 1_000) -> DataFrame:
+    """Adds ``begin``, the sum of the sizes of a pattern's buckets before each, in two levels: stretches of ``width``
+    buckets are summed first, so that no pattern's buckets go through one task."""
+    sums = sums.withColumn("_s", F.floor(F.col("bucket") / width))
+    wide = sums.groupBy("pattern", "_s").agg(F.sum("size").alias("_size")).selectExpr("pattern", "_s", "sum(_size) over (partition by pattern order by _s) - _size as _before")
+    inner = sums.selectExpr("*", "sum(size) over (partition by pattern, _s order by bucket) - size as _within")
+    return inner.join(wide, ["pattern", "_s"]).withColumn("begin", F.col("_before") + F.col("_within")).drop("_s", "_before", "_within")
+
+
 def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_copies) of every listed source."""
     per = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
