@@ -278,6 +278,60 @@ def abbreviation_definitions(spark: SparkSession, d: str) -> DataFrame:
     return mentions(s, ["s_suppkey"]).where("kind = 'ABBR'").select("s_suppkey", "long", "text")
 
 
+@query("""
+select s_suppkey, case s_suppkey % 5 when 0 then 'differential scanning calorimetry' when 1 then 'nuclear magnetic resonance' when 2 then 'potassium bromide' end as long,
+case s_suppkey % 5 when 0 then 'DSC' when 1 then 'NMR' when 2 then 'PTB' end as text from supplier where s_suppkey % 5 < 3
+""")
+def varied_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions in three forms, a bracket whose letters don't fit and a sentence without any."""
+    k, n = F.col("s_suppkey"), F.col("s_name")
+    s = (
+        F.when(k % 5 == 0, F.concat(F.lit("Samples of "), n, F.lit(" were run by differential scanning calorimetry (DSC) again.")))
+        .when(k % 5 == 1, F.concat(F.lit("The NMR (nuclear magnetic resonance) of "), n, F.lit(" was taken.")))
+        .when(k % 5 == 2, F.concat(F.lit("In all pellets PTB = potassium bromide , as sold by "), n, F.lit(" .")))
+        .when(k % 5 == 3, F.concat(F.lit("Dried over magnesium sulfate (XYZ) from "), n, F.lit(".")))
+        .when(k % 5 == 4, F.concat(n, F.lit(" (see below) was used.")))
+    )
+    return mentions(table(spark, d, "supplier").select("s_suppkey", s.alias("text")), ["s_suppkey"]).where("kind = 'ABBR'").select("s_suppkey", "long", "text")
+
+
+@query("""
+select p_partkey, case p_partkey % 6 when 0 then 1 when 1 then 1 when 2 then 1 else 0 end as inchis, case p_partkey % 6 when 3 then 1 when 4 then 1 else 0 end as smiles, case when p_partkey % 2 = 0 then 1 else 0 end as keys from part
+""")
+def varied_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """InChI with and without prefix and layers, strings that only begin like one, SMILES with rings and charges, and keys of
+    right and wrong length."""
+    k = F.col("p_partkey")
+    forms = ["InChI=1S/CH4/h1H4", "1/C8H8O3/c1-6(9)11-8/h2-5H,1H3/t7-/m0/s1", "InChI=1S/p+1", "[O-][N+](=O)c1ccc(Br)cc1", "C1CC(=O)N[C@@H]1C", "InChI=1S/C2H6O/z9 CC(C 123"]
+    key = F.when(k % 2 == 0, "LFQSCWFLJHTTHZ-UHFFFAOYSA-N").otherwise("LFQSCWFLJHTTH-UHFFFAOYSA-N")
+    t = F.concat_ws(" ", F.lit("see"), F.element_at(F.array(*map(F.lit, forms)), (k % 6 + 1).cast("int")), key)
+    found = F.filter(S.smiles(t), lambda x: x.rlike("[=(\\[]"))
+    return table(spark, d, "part").select("p_partkey", F.size(S.inchis(t)).alias("inchis"), F.size(found).alias("smiles"), F.size(S.inchikeys(t)).alias("keys"))
+
+
+@query("""
+with x as (select p_partkey, substr(p_name, 1, 5) as a, p_type as b from part)
+select p_partkey, cast(min(levenshtein(a, substr(b, cast(i as integer), cast(j as integer)))) as integer) as least from x, range(1, 40) as t(i), range(0, 11) as u(j) group by p_partkey
+""")
+def levenshtein_window(spark: SparkSession, d: str) -> DataFrame:
+    """Least edit distance between the begin of a name and any part of another text."""
+    return table(spark, d, "part").select("p_partkey", S.levenshtein_within(F.substring("p_name", 1, 5), F.col("p_type")).alias("least"))
+
+
+@query("""
+select s_suppkey, 'Sup' || s_suppkey as last, case s_suppkey % 4 when 3 then 'L' else 'Ludwig' end as first, s_suppkey % 4 < 3 or s_suppkey % 2 = 1 as fits from supplier
+""")
+def varied_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Names in four orders, with titles, particles and initials, against one person of that name."""
+    from spagyric.sources import biblio as B
+
+    k, last = F.col("s_suppkey"), F.concat(F.lit("Sup"), F.col("s_suppkey").cast("string"))
+    forms = F.array(F.concat(last, F.lit(", Ludwig M.")), F.concat(F.lit("Ludwig "), last), F.concat(F.lit("Dr. Ludwig Max "), last), F.concat(F.lit("L. "), last))
+    name = F.element_at(forms, (k % 4 + 1).cast("int"))
+    p = B.person_struct(name)
+    return table(spark, d, "supplier").select("s_suppkey", p["lastname"].alias("last"), F.regexp_replace(p["firstname"], r"\.$", "").alias("first"), B.could_be_same(name, F.concat(F.lit("Ludwig "), last)).alias("fits"))
+
+
 # --- quantities --------------------------------------------------------------------------------------------------------
 
 
