@@ -109,6 +109,7 @@ def quantities(text: str, models: Model | list[Model], found: list[dict] | None
     specifiers: by model, what the document has defined as names of the property besides the model's own.
     """
     models = [models] if isinstance(models, Model) else models
+    U.register(*(u for m in models for u in m.units))
     by = {m.name: m for m in models}
     specs = [x for m in models for x in _specifiers(text, m, (specifiers or {}).get(m.name, []))]
     named = {n for s in specs for n in s.models}
@@ -374,6 +375,7 @@ def table_rows(grid: list[list[str]], models: list[Model], caption: str | None =
     its header or the caption; the compound in the column that says so, else in the first. Cells without a value give nothing."""
     if not grid:
         return
+    U.register(*(u for m in models for u in m.units))
     head, body = _heads(grid)
     told = [m for m in models if is_quantity(m) and m["specifier"].pattern]
     named = next((j for j, h in enumerate(head) if _NAMED_BY.search(h)), 0)

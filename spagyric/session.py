@@ -55,6 +55,16 @@ def shared_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark, "checkpoints"))
 
 
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def joinable(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join, to be broadcast if it has no more rows than ``most``; else Spark joins as it will. df must be kept
+    (a checkpoint), as it is counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a small input as many partitions as there are cores before Python work; leave a large one alone.
 

@@ -106,6 +106,7 @@ class Model:
     dimension: U.Dimension | None = None
     no_merge_range: Range = 0 * SENTENCE
     triggers: tuple[str, ...] = ()
+    units: tuple[U.Base, ...] = ()  # besides the built-in ones
 
     def extend(self, name: str, *fields: Field, **changes) -> "Model":
         """A model with these fields besides, or instead of those of the same name."""
@@ -268,11 +269,11 @@ QUANTITY = Model(
 DIMENSIONLESS_QUANTITY = QUANTITY.extend("DimensionlessModel", Field("raw_units"), dimension=U.DIMENSIONLESS)
 
 
-def quantity_model(name: str, dimension: U.Dimension, specifier: str | None = None, *fields: Field, triggers: tuple[str, ...] = ()) -> Model:
+def quantity_model(name: str, dimension: U.Dimension, specifier: str | None = None, *fields: Field, triggers: tuple[str, ...] = (), units: tuple[U.Base, ...] = ()) -> Model:
     """A model of a property with a value; specifier: a pattern of the words that name the property."""
     base = DIMENSIONLESS_QUANTITY if dimension == U.DIMENSIONLESS else QUANTITY
     spec = Field("specifier", pattern=specifier, required=specifier is not None, updatable=True)
-    return base.extend(name, spec, *fields, dimension=dimension, triggers=triggers)
+    return base.extend(name, spec, *fields, dimension=dimension, triggers=triggers, units=units)
 
 
 MELTING_POINT = quantity_model("MeltingPoint", U.TEMPERATURE, r"[Mm]elting (?:points?|range|temperature)|m\.?\s?pt?\.?|m\. ?p\.|Mp|Tm", *_SETTING[:1], *_SETTING[3:], _WITH, _OF, triggers=("melting", "mp", "m.p", "m.pt", "mpt", "Tm", "m. p"))

@@ -94,6 +94,17 @@ BASES = [
     Base("Percent", RATIO, 1.0, 0.0, r"%"),
 ]
 BASE_OF = {b.name: b for b in BASES}
+
+
+def register(*units: Base) -> None:
+    """Makes units of one's own known in this process. Units that stand in a model are registered wherever it is used, on
+    workers too; a name that is known keeps its meaning."""
+    for b in units:
+        if b.name not in BASE_OF:
+            BASE_OF[b.name] = b
+            BASES.append(b)
+
+
 #: Decimal prefixes.
 PREFIXES = {"c": -2, "k": 3, "M": 6, "G": 9, "T": 12, "m": -3, "µ": -6, "μ": -6, "n": -9, "p": -12}
 _LONG = {"centi": -2, "kilo": 3, "mega": 6, "giga": 9, "tera": 12, "milli": -3, "micro": -6, "nano": -9, "pico": -12}

@@ -143,3 +143,13 @@ def test_word_clusters(spark):
     words = spark.createDataFrame([("Acid",), ("none",)], "w string")
     out = with_clusters(words, "w", spark.createDataFrame([("acid", "0110101")], "word string, cluster string"), (2, 4))
     assert {tuple(r) for r in out.collect()} == {("Acid", "0110101", "01", "0110"), ("none", None, None, None)}
+
+
+def test_units_of_ones_own(spark):
+    from spagyric.spec import units as U
+
+    rankine = U.Base("Rankine", U.TEMPERATURE, 5 / 9, 0.0, r"°?R(?:ankine)?")
+    model = M.quantity_model("BoilingPoint", U.TEMPERATURE, r"boiling points?", units=(rankine,))
+    df = spark.createDataFrame([(1, "The boiling point was 671.6 °R here."), (2, "The boiling point was 5 Zz.")], "id int, text string")
+    got = [(r.id, json.loads(r.payload)) for r in X.records(df, ["id"], [model]).collect()]
+    assert [(i, p["raw_value"], p["raw_units"], p["units"]) for i, p in got] == [(1, "671.6", "°R", "Rankine^(1.0)")]
