@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spagyric.session import shared_checkpoints
+from spagyric.session import joinable, shared_checkpoints
 
 #: Parts of names that aren't compared, and words that describe nothing.
 PARTICLES = "van von der den de di da del della dos du la le ter ten zu zur vom af av bin ibn al el st".split()
@@ -217,6 +217,8 @@ def organisations(read: DataFrame) -> DataFrame:
     words that describe them. read: ``readings``."""
     words = read.where("words is not null").select("name", "told", F.size("words").alias("size"), F.posexplode("words").alias("at", "w"))
     long, first, last = F.col("size") > 2, F.col("at") == 0, F.col("at") == F.col("size") - 1
+    in_long = joinable(words.where(long).select("w").distinct().checkpoint())  # no other word's places matter
+    words = words.join(in_long, "w", "left_semi")
     stands = words.groupBy("w").agg(F.count_if(long).alias("b"), F.count_if(~long).alias("a"), (F.bool_or(long & first) & F.bool_or(long & last)).alias("ends"))
     outer = F.col("ends") & (first | last)
     held = words.where(long).join(stands, "w").groupBy("name", "told").agg(F.array_sort(F.collect_list(F.struct("at", "w", "a", "b", outer.alias("outer")))).alias("ws"))  # the words of one string
@@ -242,7 +244,8 @@ def keyed(names: DataFrame) -> DataFrame:
     'org'; given is empty where only initials are written."""
     read = readings(names).checkpoint()
     orgs = organisations(read).checkpoint()
-    parsed = read.drop("words", "told", "acronym").join(orgs.select("name"), "name", "left_anti").where("kind <> 'none'").checkpoint()
+    told = joinable(orgs)
+    parsed = read.drop("words", "told", "acronym").join(told.select("name"), "name", "left_anti").where("kind <> 'none'").checkpoint()
     sure = parsed.where("kind = 'person'")
     # counts of distinct strings: a given name goes with many families
     as_given = sure.where("given <> ''").groupBy(F.col("given").alias("w")).agg(F.count("*").alias("g"))
@@ -256,12 +259,12 @@ def keyed(names: DataFrame) -> DataFrame:
     near = variants(frequent.unionByName(unmet), "w", ["w", "known"])
     meets = near.groupBy("variant").agg(F.bool_or("known").alias("some"), F.collect_set(F.when(~F.col("known"), F.col("w"))).alias("ws"))
     close = meets.where("some").select(F.explode("ws").alias("w")).distinct().select("w", F.lit(1.0).alias("rate"))
-    rate = rate.join(close.select("w"), "w", "left_anti").unionByName(close)
+    rate = joinable(rate.join(close.select("w"), "w", "left_anti").unionByName(close).checkpoint())
     either = either.join(rate.select(F.col("w").alias("family"), F.col("rate").alias("r1")), "family", "left").join(rate.select(F.col("w").alias("given"), F.col("rate").alias("r2")), "given", "left")
     given_first = F.coalesce("r1", F.lit(0.0)) >= F.coalesce("r2", F.lit(0.0))
     either = either.select("name", "n", F.lit("person").alias("kind"), F.when(given_first, F.col("given")).otherwise(F.col("family")).alias("family"), F.when(given_first, F.col("family")).otherwise(F.col("given")).alias("given"))
     either = either.withColumn("initial", F.substring("given", 1, 1))
-    org = read.select("name", "n").join(orgs, "name").select("name", "n", F.lit("org").alias("kind"), "family", F.lit("").alias("given"), "initial")
+    org = read.select("name", "n").join(told, "name").select("name", "n", F.lit("org").alias("kind"), "family", F.lit("").alias("given"), "initial")
     return sure.unionByName(either).unionByName(org).select("name", "n", "kind", "family", "given", "initial")
 
 
@@ -302,12 +305,13 @@ def attributed(keys: DataFrame, estimated: tuple[dict[str, float], float, float]
     initial, are one slip away, and come before by n * d, so that no two wait for each other. estimated: what
     ``channel`` gives, to be used instead of this corpus's own.
     """
-    wide = variants(keys, "family", ["key"], ["kind", "initial"]).distinct()
+    wide = variants(keys, "family", ["key"], ["kind", "initial"])  # of one key all different
     meets = wide.groupBy("variant").agg(F.collect_list("key").alias("ks")).where("size(ks) > 1")  # words one slip apart from one word
     every = F.flatten(F.transform("ks", lambda a: F.transform(F.filter("ks", lambda b: b != a), lambda b: F.struct(a.alias("key"), b.alias("key2")))))
     pairs = meets.select(F.explode(every).alias("p")).select("p.key", "p.key2").distinct()
     side = keys.select("key", "family", "n", "d")
-    pairs = pairs.join(side, "key").join(side.select(*(F.col(c).alias(c + "2") for c in side.columns)), "key2")
+    side = joinable(side)
+    pairs = pairs.join(side, "key").join(side.select(*(F.col(c).alias(c + "2") for c in ("key", "family", "n", "d"))), "key2")
     before = F.struct(F.col("n2") * F.col("d2"), "n2", -F.col("key2")) > F.struct(F.col("n") * F.col("d"), "n", -F.col("key"))
 
     def verify(batches):
@@ -379,8 +383,8 @@ def people(persons: DataFrame) -> DataFrame:
     links = held.join(forms, "given").join(targets, ["family", "initial", "to"]).select("key", F.col("to_key").alias("to"))
     roots = held.join(rooted(held.select("key"), links), "key")
     clusters = roots.groupBy("family", "initial", "root").agg(F.sum("n").alias("n"))
-    likeliest = clusters.groupBy("family", "initial").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("most"))
-    of = roots.select("family", "initial", "given", "root")
+    likeliest = joinable(clusters.groupBy("family", "initial").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("most")).checkpoint())
+    of = joinable(roots.select("family", "initial", "given", "root").checkpoint())
     out = persons.join(of, ["family", "initial", "given"], "left").join(likeliest, ["family", "initial"], "left")
     return out.select("name", F.coalesce("root", "most", F.xxhash64("family", "initial")).alias("entity"))
 
@@ -395,8 +399,8 @@ def entities(names: DataFrame) -> DataFrame:
     given = of.where("given <> ''").groupBy(F.lit("given").alias("kind"), "initial", F.col("given").alias("family")).agg(F.sum("n").alias("n"), F.count_distinct("family").alias("d"))
     keys = families.unionByName(given).select(number("kind", "initial", "family").alias("key"), "kind", "initial", "family", "n", "d").checkpoint()
     root = attributed(keys)
-    as_family = root.select(F.col("key").alias("k1"), F.col("root").alias("r1"))
-    as_given = root.join(keys.where("kind = 'given'").select(F.col("key").alias("root"), F.col("family").alias("g")), "root").select(F.col("key").alias("k2"), "g")
+    as_family = joinable(root.select(F.col("key").alias("k1"), F.col("root").alias("r1")).checkpoint())
+    as_given = joinable(root.join(keys.where("kind = 'given'").select(F.col("key").alias("root"), F.col("family").alias("g")), "root").select(F.col("key").alias("k2"), "g").checkpoint())
     rows = of.select("name", "n", "kind", "initial", "given", number("kind", "initial", "family").alias("k1"), F.when(F.col("given") != "", number(F.lit("given"), "initial", "given")).alias("k2"))
     rows = rows.join(as_family, "k1").join(as_given, "k2", "left").select("name", "n", "kind", "initial", F.col("r1").alias("family"), F.coalesce("g", F.lit("")).alias("given")).checkpoint()
     orgs = rows.where("kind = 'org'").select("name", F.col("family").alias("entity"))
