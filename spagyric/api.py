@@ -85,10 +85,15 @@ def view(elements_: DataFrame, *kinds: str) -> DataFrame:
     return elements_.where(F.col("el_type").isin(*kinds))
 
 
-def cached_layer(spark: SparkSession, path: str, config: dict, make) -> DataFrame:
+def cached_layer(spark: SparkSession, path: str, config: dict, make, inputs: DataFrame | None = None) -> DataFrame:
     """A layer kept as Parquet under the hash of its configuration; made if absent. Another configuration is another
-    layer, so no cached one is ever taken for it."""
-    where = f"{path}/{hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]}"
+    layer, so no cached one is ever taken for it. inputs: what the layer is made from; its content then belongs to the
+    configuration, so that changed input makes a new layer (one pass over it, sums of hashes only)."""
+    told = dict(config)
+    if inputs is not None:
+        row = inputs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*inputs.columns).cast("decimal(38,0)")).alias("h")).first()
+        told["_input"] = [row["n"], str(row["h"])]
+    where = f"{path}/{hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()[:16]}"
     try:
         return spark.read.parquet(where)
     except Exception as e:

@@ -24,6 +24,7 @@ from spagyric.operators.grammar import trigger_column
 from spagyric.operators.parsers import FieldParser, Sentence, Tokenizer, patterned
 from spagyric.operators.tagging import Tagger, chemical_tags, spans_of
 from spagyric.operators.tokens import word_spans
+from spagyric.session import joinable, shared_checkpoints
 from spagyric.spec import units as U
 from spagyric.spec.models import Model
 
@@ -256,6 +257,8 @@ def with_definitions(sentences: DataFrame, doc: str, order: list[str], models: l
     telling = sentences.where(F.col(text).rlike(r"(?:temperature|point|range|energ|distance|length|number)") & F.col(doc).isNotNull())
     told = telling.select(doc, place.alias("_at"), F.explode(run(text)).alias("_s")).groupBy(doc, "_s").agg(F.min("_at").alias("_at"))
     known = told.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_s", "_at"))).alias("_known"))  # the symbols of one document
+    shared_checkpoints(sentences.sparkSession)
+    known = joinable(known.checkpoint())  # so that sentences stay where they are unless very many documents define something
     up_to = F.filter("_known", lambda k: k["_at"] <= place)
     return sentences.join(known, doc, "left").withColumn("specifiers", F.coalesce(F.transform(up_to, lambda k: k["_s"]), F.array().cast("array<string>"))).drop("_known")
 
@@ -264,7 +267,8 @@ def with_abbreviations(sentences: DataFrame, doc: str, definitions: DataFrame) -
     """Adds ``abbreviations``, a MAP of the short forms that a document defines to their long forms."""
     known = definitions.where(F.col(doc).isNotNull()).groupBy(doc, "short").agg(F.min("long").alias("long"))
     known = known.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("short", "long"))).alias("abbreviations"))  # of one document
-    return sentences.join(known, doc, "left")
+    shared_checkpoints(sentences.sparkSession)
+    return sentences.join(joinable(known.checkpoint()), doc, "left")
 
 
 def is_quantity(model: Model) -> bool:

@@ -112,7 +112,36 @@ _ROOT = """
 with j as (select rec_id, payload::json as p from raw_records where payload is not null and json_valid(payload)),
 r as (select rec_id, case when len(json_keys(p)) = 1 and regexp_matches(json_keys(p)[1], '^[A-Z]') then json_extract(p, '$."' || json_keys(p)[1] || '"') else p end as r from j where json_type(p) = 'OBJECT')
 """
+
+
+def _members(name: str, of: str, at: str, keys: str) -> str:
+    """CTEs that take the members of an array, or a single one, out of an object, and drop class names around them."""
+    value = f"json_extract({of}, '$.{at}')"
+    return f"""
+{name}_l as (select {keys}, case when json_type({value}) = 'ARRAY' then cast({value} as json[]) when {value} is null or json_type({value}) = 'NULL' then [] else [{value}] end as ms from {of}_o),
+{name}_m as (select {keys}, unnest(range(len(ms))) as {name}_i, unnest(ms) as m from {name}_l),
+{name}_o as (select {keys}, {name}_i, case when json_type(m) = 'OBJECT' and len(json_keys(m)) = 1 and regexp_matches(json_keys(m)[1], '^[A-Z]') then json_extract(m, '$."' || json_keys(m)[1] || '"') else m end as {name} from {name}_m)"""
+
+
+def _full(x: str) -> str:
+    """Whether a value, keys aside, holds a text that isn't empty, a number or a truth value."""
+    return f"""regexp_matches(regexp_replace(cast({x} as varchar), '"[^"]*"\\s*:', '', 'g'), '"[^"]+"|[0-9]|true|false')"""
+
+
+_CHILDREN = (
+    _ROOT
+    + ", r_o as (select rec_id, r from r), "
+    + ",".join([_members("peak", "r", "peaks", "rec_id"), _members("coupling", "peak", "coupling", "rec_id, peak_i"), _members("compound", "r", "compound", "rec_id"), _members("names", "compound", "names", "rec_id, compound_i"), _members("labels", "compound", "labels", "rec_id, compound_i")])
+)
 ORACLE = {
+    "p7_found": _CHILDREN
+    + f"""
+select distinct rec_id, 'peaks/' || peak_i as path from peak_o where json_type(peak) = 'OBJECT' and {_full('peak')}
+union select rec_id, 'peaks/' || peak_i || '/coupling/' || coupling_i from coupling_o where json_type(coupling) = 'OBJECT' and {_full('coupling')}
+union select rec_id, 'compound/' || compound_i from compound_o where json_type(compound) = 'OBJECT' and {_full('compound')}
+union select rec_id, 'compound/' || compound_i || '/names/' || names_i from names_o where {_full('names')}
+union select rec_id, 'compound/' || compound_i || '/labels/' || labels_i from labels_o where {_full('labels')}
+""",
     "p5_zones": "select publisher, tz as declared, true as agrees, true as same_order from publishers",
     "p2_rendered": f"with x as (select p_partkey, p_size + 100 as v, {_UNIT_LIST!r}[p_partkey % {len(_UNIT_LIST)} + 1] as unit from part) select p_partkey as rec_id, unit, round(case unit when 'K' then v when 'C' then v + 273.15 when 'F' then (v + 459.67) * 5 / 9 else v / 1000 end, 4) as kelvin from x",
     "p5_rendered": """

@@ -181,6 +181,64 @@ def select(root: Node, css: str) -> list:
     return out
 
 
+_XSTEP = re.compile(r"(//?|^)(?:(text\(\))|@([\w:-]+)|(\.\.?|[\w:*-]+))((?:\[[^\]]*\])*)")
+
+
+def xpath(root: Node, path: str) -> list:
+    """Nodes in document order, or texts for a path that ends with text() or @name. A subset of XPath: child and
+    descendant steps, '.', '..', '*', unions with '|', and predicates on positions, attributes (present, equal, contains,
+    starts-with) and own text."""
+    if "|" in path:
+        parts = [x for one in path.split("|") for x in xpath(root, one.strip())]
+        if parts and isinstance(parts[0], Node):
+            order = {id(n): i for i, n in enumerate(root.walk())}
+            return sorted({id(n): n for n in parts}.values(), key=lambda n: order.get(id(n), 0))
+        return parts
+    at, found = 0, [root]
+    while at < len(path):
+        m = _XSTEP.match(path, at)
+        if not m or m.end() == at:
+            raise ValueError(f"no XPath of this subset: {path[at:]}")
+        deep, at = m[1] == "//", m.end()
+        if m[2] or m[3]:
+            inner = [n for base in found for n in (base.walk() if deep else [base])]
+            out = [x for n in dict.fromkeys(inner) for x in ([c for c in n.children if not isinstance(c, Node)] if m[2] else [n.attrs[m[3]]] if m[3] in n.attrs else [])]
+            if at < len(path):
+                raise ValueError(f"a text has nothing below it: {path}")
+            return out
+        if m[4] == ".":
+            found = list(dict.fromkeys(n for base in found for n in base.walk())) if deep else found
+            continue
+        if m[4] == "..":
+            found = list(dict.fromkeys(n.parent for n in found if n.parent is not None))
+            continue
+        new: dict[Node, None] = {}
+        for base in found:
+            parents = base.walk() if deep else [base]
+            for parent in parents:
+                fits = [c for c in parent.elements() if m[4] in ("*", c.tag)]
+                for test in re.findall(r"\[([^\]]*)\]", m[5]):
+                    fits = _tested(fits, test.strip())
+                new.update(dict.fromkeys(fits))
+        found = list(new)
+    return found
+
+
+def _tested(nodes: list[Node], test: str) -> list[Node]:
+    if test.isdigit():
+        return nodes[int(test) - 1 : int(test)]
+    if test == "last()":
+        return nodes[-1:]
+    if m := re.fullmatch(r"(contains|starts-with)\(\s*(@[\w:-]+|\.|text\(\))\s*,\s*(['\"])(.*?)\3\s*\)", test):
+        value = lambda n: n.attrs.get(m[2][1:], "") if m[2][0] == "@" else n.text()
+        return [n for n in nodes if (m[4] in value(n) if m[1] == "contains" else value(n).startswith(m[4]))]
+    if m := re.fullmatch(r"@([\w:-]+)(?:\s*(!?=)\s*(['\"])(.*?)\3)?", test):
+        return [n for n in nodes if m[1] in n.attrs and (m[2] is None or (n.attrs[m[1]] == m[4]) == (m[2] == "="))]
+    if m := re.fullmatch(r"(?:text\(\)|\.)\s*=\s*(['\"])(.*?)\1", test):
+        return [n for n in nodes if n.text() == m[2]]
+    raise ValueError(f"no predicate of this subset: {test}")
+
+
 def text_of(x) -> str:
     return re.sub(r"\s+", " ", x.text() if isinstance(x, Node) else x).strip()
 

@@ -77,6 +77,7 @@ READERS: list[Profile] = [
     replace(HTML, name="cssp", detect=(r"(?i)content=\"ChemSpider SyntheticPages\"",), title="h1, .article-title", heading="h3, .section-title"),
     replace(XML, name="elsevier", detect=(r"elsevier\.com/xml/svapi/article",), root="*", title="ce|title, dc|title", heading="ce|section-title", paragraph="ce|para, ce|simple-para", table="ce|table", table_caption="ce|caption", table_row="row", table_cell="entry, ce|entry", figure="ce|figure", figure_caption="ce|caption", figure_label="ce|label", figure_link="none::attr(x)", citation="ce|bib-reference", metadata={"title": "dc|title::text", "authors": "dc|creator::text", "publisher": "prism|publisher::text", "journal": "prism|publicationName::text", "volume": "prism|volume::text", "issue": "prism|number::text", "firstpage": "prism|startingPage::text", "lastpage": "prism|endingPage::text", "doi": "prism|doi::text", "date": "prism|coverDate::text"}),
     replace(XML, name="springer_jats", detect=(r"dtd-version=\"1\.2\"",), root="article", title="front article-title", paragraph="body p, abstract p", citation="back ref"),
+    replace(HTML, name="springer_materials", detect=(r"(?i)<title>[^<]*SpringerMaterials", r"(?i)materials\.springer\.com"), title="h1, .title", heading="h2, h3, .section__heading", paragraph="p, .description", table="table", table_caption="caption, .table__caption"),
     replace(HTML, name="springer", detect=(r"(?i)content=\"Springer", r"(?i)<(?:meta|link|base)\b[^<>]*springer(?:link)?\.com"), title="h1.ArticleTitle, h1", heading="h2.Heading, h2, h3", paragraph="p.Para, p", table="div.Table table, table", table_caption=".Caption, caption", figure="figure.Figure, figure", citation=".BibliographyWrapper li, .CitationContent"),
     XML,
     HTML,

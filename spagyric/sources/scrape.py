@@ -13,7 +13,8 @@ from datetime import datetime
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from spagyric.sources.dom import Node, cleaned, parse, select, text_of
 
@@ -156,3 +157,29 @@ def scrape(pages: DataFrame, key: str, html: str, entity: Entity = DOCUMENT, roo
             yield pd.DataFrame(out, columns=[key, *names], dtype=object)
 
     return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, {entity.sql()}")
+
+
+def clean_html(c: Column, kill: tuple[str, ...] = ("script", "style", "noscript"), strip: tuple[str, ...] = (), allow: tuple[str, ...] | None = None, steps: tuple[Callable[[Node], None], ...] = ()) -> Column:
+    """Markup without killed elements, of stripped or not allowed ones only the content. steps: changes to the tree before."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(text):
+            tree = parse(text, False)
+            for step in steps:
+                step(tree)
+            return "".join(x.html() if isinstance(x, Node) else x for x in cleaned(tree, kill, strip, allow).children)
+
+        return s.map(lambda x: None if x is None else one(x))
+
+    return run(c)
+
+
+def strip_html(c: Column) -> Column:
+    """The text of markup, white space brought to single blanks."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else text_of(cleaned(parse(x, False))))
+
+    return run(c)

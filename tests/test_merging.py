@@ -100,3 +100,36 @@ def test_clusters_need_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session(), "checkpoints")
+
+
+def test_xpath():
+    from spagyric.sources.dom import xpath
+
+    tree = parse('<div id="a"><p class="x y">One<b>two</b></p><p>Three</p><ul><li>1</li><li lang="de">2</li></ul></div>', False)
+    text = lambda path: [x if isinstance(x, str) else x.text() for x in xpath(tree, path)]
+    assert text("//p") == ["Onetwo", "Three"] and text("/div/p[2]") == ["Three"] and text("//li[last()]/@lang") == ["de"]
+    assert text("//p[contains(@class, 'x')]/b/text()") == ["two"] and text("//li[@lang='de'] | //p[1]") == ["Onetwo", "2"]
+    assert text("//b/..") == ["Onetwo"] and text("//*[@id='a']//li[.='1']") == ["1"] and text("//none") == []
+    with pytest.raises(ValueError):
+        xpath(tree, "//p[foo()]")
+
+
+def test_columns_of_markup(spark):
+    from pyspark.sql import functions as F
+
+    from spagyric.sources.scrape import clean_html, feed_items, strip_html
+
+    df = spark.createDataFrame([(1, "<p>a <b>b</b><script>x</script></p>"), (2, None)], "id int, h string")
+    assert [tuple(r) for r in df.select(clean_html(F.col("h"), strip=("b",)), strip_html(F.col("h"))).collect()] == [("<p>a b</p>", "a b"), (None, None)]
+    feed = spark.createDataFrame([(1, "<rss><channel><item><title>T</title><link>http://x.org/1</link><dc:identifier>doi:10.5555/12</dc:identifier></item></channel></rss>")], "id int, x string")
+    assert [(r.title, r.doi) for r in feed_items(feed, "id", "x").collect()] == [("T", "10.5555/12")]
+
+
+def test_cached_layers_know_their_input(spark, tmp_path):
+    from spagyric.api import cached_layer
+
+    made = []
+    for rows in ([(1,)], [(1,)], [(2,)]):
+        df = spark.createDataFrame(rows, "a int")
+        assert cached_layer(spark, str(tmp_path), {"v": 1}, lambda df=df: made.append(1) or df, df).collect() == df.collect()
+    assert len(made) == 2
