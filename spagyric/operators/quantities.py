@@ -199,7 +199,9 @@ def melting_spellings(mp: DataFrame, sentences: DataFrame | None, keep: list[str
     out = ["rec_id", *keep, "value", F.lit("temperature").alias("kind"), "u", "v2", "v1"]
     if sentences is None:
         return rows.select(*out, none.alias("s2"), none.alias("s1"))
-    told = _told("temperature", "u", "v2", "v1")
+    shared_checkpoints(mp.sparkSession)
+    rows = rows.withColumn("_told", _told("temperature", "u", "v2", "v1")).checkpoint()  # read with the sentences and without
+    told = F.col("_told")
     cited = sentences.select(*key, F.col("text").alias("cited")).dropDuplicates(key)
     lone = rows.where(~told).join(cited, key, "left").withColumn("rest", cited_tail(F.col("cited"), F.col("value"), F.col("specifier")))
     lone = with_spellings(lone, "rest", "s2", "s1").select(*out, "s2", "s1")
