@@ -58,8 +58,13 @@ DESCRIBES = 2
 BEGIN = 0.5
 
 
+_PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ß": "ss", "æ": "a", "œ": "o", "đ": "d", "ı": "i"})
+
+
 def unaccented(text: str) -> str:
-    text = text.translate(str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ß": "ss", "æ": "a", "œ": "o", "đ": "d", "ı": "i"}))
+    if text.isascii():
+        return text
+    text = text.translate(_PLAIN)
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
@@ -73,14 +78,19 @@ def loose(word: str) -> str:
     return re.sub(r"(?<=[aou])e(?=[^aeiou]|$)", "", word)
 
 
+_TITLE_FIRST = re.compile(rf"^(?:{'|'.join(TITLES)})\b\.?\s+", re.I)
+_TITLE_LAST = re.compile(rf",?\s+(?:{'|'.join(TITLES)})\.?$", re.I)
+_MARKS = re.compile(r"\s*[\(\[]\d+[\)\]]$|[*†‡§¶#\d]+$|(?<=[^\W\d_])[a-z](?:,[a-z])+$")
+_TIGHT_COMMA = re.compile(r"(?<=[a-z]),(?=[A-Z])")
+
+
 def cleaned(name: str) -> str:
     """Without footnote marks, titles and degrees."""
-    s = re.sub(r"\s+", " ", unicodedata.normalize("NFC", name)).strip()
-    s = re.sub(r"\s*[\(\[]\d+[\)\]]$|[*†‡§¶#\d]+$|(?<=[^\W\d_])[a-z](?:,[a-z])+$", "", s).strip(" ,;")
-    s = re.sub(r"(?<=[a-z]),(?=[A-Z])", ", ", s)
+    s = _MARKS.sub("", " ".join(unicodedata.normalize("NFC", name).split())).strip(" ,;")
+    s = _TIGHT_COMMA.sub(", ", s)
     while True:
-        t = re.sub(rf"^(?:{'|'.join(TITLES)})\b\.?\s+", "", s, flags=re.I)
-        t = re.sub(rf",?\s+(?:{'|'.join(TITLES)})\.?$", "", t, flags=re.I) if any(len(w) > 2 for w in t.split()[:-1]) else t
+        t = _TITLE_FIRST.sub("", s)
+        t = _TITLE_LAST.sub("", t) if any(len(w) > 2 for w in t.split()[:-1]) else t
         if t == s:
             return s
         s = t.strip(" ,;")
@@ -112,7 +122,11 @@ def acronym(name: str) -> str | None:
 def parse(name: str) -> tuple[str, str, str, str] | None:
     """(kind, family, given, initial) of a string read as a person's name; given is empty if only initials are written.
     Kind is 'person', or 'either' if the order of family and given isn't known. None if the string names nobody."""
-    s = cleaned(name)
+    return read_person(cleaned(name))
+
+
+def read_person(s: str) -> tuple[str, str, str, str] | None:
+    """``parse`` of a cleaned name."""
     if not s or re.fullmatch(r"(?:and )?(?:et\.? al\.?|others|anonymous|anon\.?)", s, re.I):
         return None
     words = s.replace(",", " , ").split()
@@ -202,8 +216,8 @@ def readings(names: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for name, n in zip(b["name"], b["n"]):
-                p = parse(name)
                 text = cleaned(name)
+                p = read_person(text)
                 words = full_words(text)
                 if p or len(words) > 2:
                     out.append((name, n, *(p or ("none", "", "", "")), words if len(words) > 1 else None, described(text), acronym(text)))

@@ -210,8 +210,6 @@ def candidates(mp: DataFrame, sentences: DataFrame, trust: DataFrame) -> DataFra
     bits = reduce(Column.bitwiseOR, (F.when(c, F.lit(1 << FIELDS.index(f))).otherwise(F.lit(0)) for f, c in columns.items()))
     rows = rows.withColumns({"fills": bits, "time": -F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(-(2**62))), "tokens": tokens(F.col("compound"), rewrite)})
     keep = ["doc_id", "fills", "time", "tokens", "method"]
-    # two plans read the rows, with the sentence and without it
-    rows = rows.select("rec_id", *keep, "el_idx", "sent_idx", "raw_value", "raw_units", "specifier").checkpoint()
     values = with_interval(melting_points(rows, sentences, keep)).where("low is not null and unit is not null")
     values = values.join(trust.select("method", "trust").where("method is not null").dropDuplicates(["method"]), "method", "left")
     both = F.lit(sum(1 << FIELDS.index(f) for f in ("raw_value", "raw_units")))
