@@ -60,14 +60,23 @@ def lists(text: str, mentions: Sequence[Mention]) -> list[list[Mention]]:
     return out
 
 
+_HEAD = re.compile(r"\s(?:and|or)\s+\w+\s+(\w+?)(s?)(?!\w)")
+_LAST_WORD = re.compile(r"(\w+)\s*,?\s*\Z")
+
+
 def shared_heads(text: str, specifier: re.Pattern) -> Iterator[tuple[int, int, str]]:
     """(start, end, phrase) of members of a list that share their last word: 'Curie' in 'Curie and Neel temperatures'."""
-    for m in re.finditer(r"((?:\w+\s*,\s*)*\w+)\s*,?\s+(?:and|or)\s+\w+\s+(\w+?)(s?)(?!\w)", text):
-        for w in re.finditer(r"\w+", m[1]):
-            for head in (m[2], m[2] + m[3]):
-                if specifier.fullmatch(f"{w[0]} {head}"):
-                    yield m.start(1) + w.start(), m.start(1) + w.end(), f"{w[0]} {m[2]}"
-                    break
+    for m in _HEAD.finditer(text):
+        end = m.start() + 1
+        while True:
+            cut = text.rfind(" ", 0, max(0, len(text[:end].rstrip(" ,")))) + 1
+            w = _LAST_WORD.search(text[cut:end])
+            if w is None or not any(specifier.fullmatch(f"{w[1]} {head}") for head in (m[1], m[1] + m[2])):
+                break
+            yield cut + w.start(1), cut + w.end(1), f"{w[1]} {m[1]}"
+            end = cut + w.start(1)
+            if not text[:end].rstrip().endswith(","):
+                break
 
 
 def gap(text: str, a: Mention, b: Mention) -> float:

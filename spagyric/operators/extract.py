@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,11 @@ VALUE = rf"(?:(?<=between ){_NUM}{_ERROR}\s+and\s+{_NUM}{_ERROR}|{VALUE})"
 
 def unit_pattern(dimension: U.Dimension | None) -> str:
     """One alternation for all units of a dimension, with prefixes and products."""
+    return _unit_pattern(dimension, len(U.BASES))
+
+
+@lru_cache(maxsize=256)
+def _unit_pattern(dimension: U.Dimension | None, known: int) -> str:
     if dimension is None or dimension == U.DIMENSIONLESS:
         return ""
     names = {n for n, _ in dimension.powers}
@@ -48,7 +54,12 @@ def unit_pattern(dimension: U.Dimension | None) -> str:
 
 
 def quantity_scanner(model: Model) -> re.Pattern:
-    unit = unit_pattern(model.dimension)
+    return _scanner(model.dimension, len(U.BASES))
+
+
+@lru_cache(maxsize=256)
+def _scanner(dimension: U.Dimension | None, known: int) -> re.Pattern:
+    unit = unit_pattern(dimension)
     tail = rf"\s*(?P<units>{unit})(?![A-Za-z0-9])" if unit else r"(?![\w%°])"
     return re.compile(rf"(?<![\w.,])(?P<value>{VALUE}){tail}")
 

@@ -32,6 +32,9 @@ NOUNS, VERBS, ADJECTIVES = ("NN", "NNS", "NNP", "NNPS"), ("VB", "VBD", "VBG", "V
 SOLVENT = 30
 
 
+_POS = regex_tagger()
+
+
 @dataclass
 class Sentence:
     """A sentence as parsers see it; words and tags are made once, when they are first asked for."""
@@ -39,7 +42,7 @@ class Sentence:
     text: str
     tokenizer: Tokenizer = word_spans
     ner: Tagger = chemical_tags
-    pos: Tagger = field(default_factory=regex_tagger)
+    pos: Tagger = _POS
     abbreviations: dict[str, str] = field(default_factory=dict)  # short forms that name chemicals in this document
     compounds: list[dict] = field(default_factory=list)
 

@@ -315,11 +315,20 @@ COMMON_NAMES = set("water ethanol methanol acetone toluene benzene chloroform di
 _NOT = set("the one none alone some same phone zone time line state rate plate separate moderate appropriate approximate indicate temperature range outline medicine machine engine combine determine define examine final normal crystal general several total all solution method type value point material signal oil al in was obtained metal optical chemical thermal natural typical residual initial original pale yellow white solid colourless".split())
 
 
+_SURE_ELEMENTS = ELEMENT_NAMES - {"lead", "gold", "silver"}
+_STATE = re.compile(r"\([ivx]+\)$")
+
+
+def _element(w: str) -> str:
+    """A word in lower case without an oxidation state behind it."""
+    return _STATE.sub("", w) if w.endswith(")") else w
+
+
 def is_chemical(word: str) -> bool:
     w = word.lower()
-    if w in COMMON_NAMES or re.sub(r"\([ivx]+\)$", "", w) in ELEMENT_NAMES - {"lead", "gold", "silver"}:
+    if w in COMMON_NAMES or _element(w) in _SURE_ELEMENTS:
         return True
-    if re.fullmatch(r"poly\(?[a-z-]{4,}\)?", w) and _ENDING.search(w.rstrip(")")):
+    if w.startswith("poly") and re.fullmatch(r"poly\(?[a-z-]{4,}\)?", w) and _ENDING.search(w.rstrip(")")):
         return True
     if w in _NOT or not re.search(r"[A-Za-z]", word):
         return False
@@ -340,8 +349,8 @@ def chemical_tags(ws: Sequence[str]) -> list[str]:
     without brackets that don't close."""
     hit = [is_chemical(w) for w in ws]
     for i in range(1, len(ws)):  # 'acetic acid', 'sodium chloride', 'barium titanate'
-        cation = re.sub(r"\([ivx]+\)$", "", ws[i - 1].lower()) in ELEMENT_NAMES or ws[i - 1].lower() in ("ammonium", "lead")
-        if not hit[i] and cation and ws[i].lower() not in _NOT and _ANION.fullmatch(ws[i].lower()):
+        cation = not hit[i] and (_element(ws[i - 1].lower()) in ELEMENT_NAMES or ws[i - 1].lower() in ("ammonium", "lead"))
+        if cation and ws[i].lower() not in _NOT and _ANION.fullmatch(ws[i].lower()):
             hit[i] = hit[i - 1] = True
         if hit[i] and not hit[i - 1] and re.fullmatch(r"[a-z]+(?:ic|ium|ous)|sodium|lithium|potassium|silver|zinc|copper(?:\([IV]+\))?|nickel(?:\([IV]+\))?|cobalt(?:\([IV]+\))?|iron(?:\([IV]+\))?", ws[i - 1].lower()):
             hit[i - 1] = True
