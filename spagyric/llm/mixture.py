@@ -3,20 +3,24 @@
 Documents are aggregated by membership pattern (the set of sources they may be used for). The token
 capacity of the patterns is routed to the quotas of the sources by a min-cost flow whose costs rise with
 each repetition; then documents are selected: a pattern's documents, in seeded order, form a ring of tokens,
-every source gets an arc of it, and a document is used as often as arcs of a source pass its middle.
+every source gets an arc of it, and a document is used as often as arcs of a source pass it.
 
 The total is the largest for which all quotas can be met. Positions on the ring come from sums over hash
-buckets; only the few buckets in which an arc ends are ordered by document, so no source is ever in one task.
+buckets; only in the few buckets in which an arc ends are documents chosen one by one, so no source is ever in
+one task. There a source takes, in seeded order, the documents that fit its part of the bucket, so that a document
+larger than what is wanted doesn't take the place of others. What sources then still lack, over all their
+patterns, is taken from the documents of the same buckets that are left.
 
 Defined cases: documents of a null or unlisted source take no part, nor do documents without tokens;
 sources with a share but no tokens are left out and the others keep their proportions; sources with share 0
-get nothing; shares are met up to half a document for each end of an arc.
+get nothing; a quota is met up to the largest document in use, and mostly up to half the smallest that is left.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +72,8 @@ def min_cost_flow(arcs: list[tuple], source, sink, most: float) -> tuple[float,
 
 def route(capacity: dict[tuple[str, ...], float], shares: dict[str, float], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str], float]:
     """(pattern, source) -> tokens, for the largest total whose shares can be met."""
-    shares = {s: w for s, w in shares.items() if w > 0 and repeats.get(s, 0) > 0 and any(s in p and n > 0 for p, n in capacity.items())}
+    capacity = dict(sorted(capacity.items()))  # of equally cheap flows, always the same
+    shares = {s: w for s, w in sorted(shares.items()) if w > 0 and repeats.get(s, 0) > 0 and any(s in p and n > 0 for p, n in capacity.items())}
     weight = sum(shares.values())
     if not weight:
         return {}
@@ -97,6 +102,48 @@ def route(capacity: dict[tuple[str, ...], float], shares: dict[str, float], repe
     return out
 
 
+def passed(arc: tuple[float, float], begin: float, size: float, ring: float) -> float:
+    """Tokens of an arc, which may go round the ring several times, in the stretch of ``size`` from ``begin`` on."""
+
+    def until(y: float, z: float) -> float:
+        laps = y // ring
+        return laps * z + min(y - laps * ring, z)
+
+    a, b = arc
+    return until(b, begin + size) - until(b, begin) - until(a, begin + size) + until(a, begin)
+
+
+def fill(sizes: list[int], patterns: list[tuple[str, ...]], used: list[list[int]], wanted: dict[str, int], repeats: dict[str, int], largest: int | None = None) -> dict[str, int]:
+    """Adds copies of documents to ``used`` as long as they fit what the sources want; returns what these still want.
+
+    sizes: the documents' tokens, in seeded order; patterns: their sources; used: their copies for each of these.
+    Documents used least come first. With ``largest``, the tokens of the largest document in use, one document more
+    is taken if that leaves a source nearer to what it wants, or if it lacks more than ``largest``.
+    """
+    left = dict(wanted)
+    most = {p: max(repeats[s] for s in p) for p in set(patterns)}
+    for s in sorted(left, key=lambda s: (left[s], s)):
+        mine = [(i, p.index(s)) for i, p in enumerate(patterns) if s in p]
+        free, least = mine, min((sizes[i] for i, _ in mine), default=0)
+        while free and left[s] >= least:
+            took = False
+            for i, j in sorted(free, key=lambda x: sum(used[x[0]])):
+                if sizes[i] <= left[s] and used[i][j] < repeats[s] and sum(used[i]) < most[patterns[i]]:
+                    used[i][j] += 1
+                    left[s] -= sizes[i]
+                    took = True
+            free = [(i, j) for i, j in free if sizes[i] <= left[s]] if took else []
+        if largest is None or left[s] <= 0:
+            continue
+        free = [(i, j) for i, j in mine if used[i][j] < repeats[s] and sum(used[i]) < most[patterns[i]]]
+        i, j = min(free, key=lambda x: abs(sizes[x[0]] - left[s]), default=(None, None))
+        if i is not None and (abs(sizes[i] - left[s]) < left[s] or left[s] > largest):
+            used[i][j] += 1
+            left[s] -= sizes[i]
+            largest = max(largest, sizes[i])
+    return left
+
+
 def counted(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents that have a source, cut from its lineage."""
     shared_checkpoints(documents.sparkSession)
@@ -121,30 +168,58 @@ def mixture(counts: DataFrame, weights: DataFrame, seed: int = 0, per_bucket: in
     rows = counts.where("n_tokens > 0").select("doc_id", F.concat_ws("\x1f", known).alias("pattern"), "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("at")).where("pattern <> ''")
     totals = rows.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()  # one row for each set of sources
     capacity = {tuple(r["pattern"].split("\x1f")): float(r["tokens"]) for r in totals}
-    flows = route(capacity, {s: w for s, (w, _) in listed.items()}, {s: m for s, (_, m) in listed.items()})
-    arcs, begun = [], {}
-    for (pattern, source), n in sorted(flows.items()):
-        a = begun.get(pattern, 0.0)
-        begun[pattern] = a + n
-        arcs.append(("\x1f".join(pattern), source, a, a + n, capacity[pattern]))
-    if not arcs:
+    repeats = {s: m for s, (_, m) in listed.items()}
+    flows = route(capacity, {s: w for s, (w, _) in listed.items()}, repeats)
+    quota: dict[str, float] = {}
+    for (_, source), n in flows.items():
+        quota[source] = quota.get(source, 0.0) + n
+    if not quota:
         return spark.createDataFrame([], schema)
+    arcs: dict[str, dict[str, tuple[float, float]]] = {}
+    ring = {"\x1f".join(p): n for p, n in capacity.items()}
+    for pattern in sorted(capacity):
+        at = 0.0
+        for source in (s for s in pattern if s in quota):
+            arcs.setdefault("\x1f".join(pattern), {})[source] = at, (at := at + flows.get((pattern, source), 0.0))
     buckets = max(1, max(r["n"] for r in totals) // per_bucket)
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("at", 20), F.lit(buckets)))
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("size"))
     sums = begun_at(sums)
-    arc = spark.createDataFrame(arcs, "pattern string, source string, a double, b double, ring double")
+    arc = spark.createDataFrame([(p, s, a, b, ring[p]) for p, of in arcs.items() for s, (a, b) in of.items()], "pattern string, source string, a double, b double, ring double")
     passes = lambda x, c: F.ceil((x - c) / F.col("ring"))
     copies = lambda c: (passes(F.col("b"), c) - passes(F.col("a"), c)).cast("bigint")
     last = F.col("begin") + F.col("size") - 1
     whole = (copies(F.col("begin")) == copies(last)) & (passes(F.col("a"), F.col("begin")) == passes(F.col("a"), last))
-    per = sums.join(F.broadcast(arc), "pattern").select("pattern", "bucket", "source", "a", "b", "ring", "begin", whole.alias("whole"), copies(F.col("begin")).alias("copies"))
-    all_ = rows.join(per.where("whole and copies > 0").select("pattern", "bucket", "source", "copies"), ["pattern", "bucket"]).select("doc_id", "source", "n_tokens", "copies")
-    cut = per.where("not whole").select("pattern", "bucket", "source", "a", "b", "ring", "begin")
-    some = rows.join(cut.select("pattern", "bucket", "begin").distinct(), ["pattern", "bucket"])
-    some = some.selectExpr("*", "begin + sum(n_tokens) over (partition by pattern, bucket order by at, doc_id rows unbounded preceding) - n_tokens as c")
-    some = some.drop("begin").join(cut.drop("begin"), ["pattern", "bucket"]).withColumn("copies", copies(F.col("c") + F.col("n_tokens") / 2)).where("copies > 0")
-    return all_.unionByName(some.select("doc_id", "source", "n_tokens", "copies"))
+    per = sums.join(F.broadcast(arc), "pattern").select("pattern", "bucket", "begin", "size", F.struct("source", copies(F.col("begin")).alias("copies")).alias("arc"), whole.alias("whole"))
+    # the first bucket of every pattern is also for what sources lack in the end
+    per = per.groupBy("pattern", "bucket", "begin", "size").agg(F.sort_array(F.collect_list("arc")).alias("arcs"), (F.bool_and("whole") & (F.col("begin") > 0)).alias("whole"))
+    all_ = rows.join(per.where("whole").selectExpr("pattern", "bucket", "inline(arcs)").where("copies > 0"), ["pattern", "bucket"]).select("doc_id", "source", "n_tokens", "copies")
+    cut = per.where("not whole").select("pattern", "bucket", "begin", "size", F.col("arcs.source").alias("sources"), F.array_repeat(F.lit(0).cast("bigint"), F.size("arcs")).alias("used"))
+    some = rows.join(cut, ["pattern", "bucket"])
+
+    def chosen(docs: pa.Table, wanted: dict[str, int], largest: int | None = None) -> pa.Table:
+        docs = docs.sort_by([("at", "ascending"), ("doc_id", "ascending"), ("n_tokens", "ascending")])
+        used = docs["used"].to_pylist()
+        fill(docs["n_tokens"].to_pylist(), [tuple(p) for p in docs["sources"].to_pylist()], used, wanted, repeats, largest)
+        field = docs.schema.field("used")
+        return docs.set_column(docs.schema.get_field_index("used"), field, pa.array(used, field.type))
+
+    def in_bucket(docs: pa.Table) -> pa.Table:
+        pattern, begin, size = (docs[c][0].as_py() for c in ("pattern", "begin", "size"))
+        return chosen(docs, {s: round(passed(x, begin, size, ring[pattern])) for s, x in arcs[pattern].items()})
+
+    shared_checkpoints(spark)
+    some = some.groupBy("pattern", "bucket").applyInArrow(in_bucket, some.schema).checkpoint()
+    by_source = lambda df: df.select("doc_id", "n_tokens", F.inline(F.arrays_zip("sources", "used")).alias("source", "copies")).select("doc_id", "source", "n_tokens", "copies").where("copies > 0")
+    met = all_.unionByName(by_source(some)).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("n_tokens").alias("largest")).collect()  # a row for each source
+    lacks = {s: round(n) - sum(r["tokens"] for r in met if r["source"] == s) for s, n in quota.items()}
+    lacks, largest = {s: n for s, n in lacks.items() if n > 0}, max((r["largest"] for r in met), default=0)
+    # a document that is more than twice what a source lacks can't bring it nearer
+    reach = {s: 2 * n if n <= largest else float("inf") for s, n in lacks.items()}
+    near = spark.createDataFrame([(p, float(max(reach.get(s, 0) for s in of))) for p, of in arcs.items()], "pattern string, reach double")
+    some = some.join(F.broadcast(near), "pattern")
+    more = some.where("n_tokens <= reach").groupBy().applyInArrow(lambda docs: chosen(docs, lacks, largest), some.schema)
+    return all_.unionByName(by_source(some.where("n_tokens > reach"))).unionByName(by_source(more))
 
 
 def begun_at(sums: DataFrame, width: int = 1_000) -> DataFrame:

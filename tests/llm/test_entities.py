@@ -1,6 +1,7 @@
 """Components, survivors, canonical values, names and mixtures."""
 
 import random
+from collections import Counter
 from datetime import datetime
 from itertools import product
 
@@ -240,3 +241,44 @@ def test_short_and_long_families(spark):
     rows = [(n,) for g in groups for i, n in enumerate(g) for _ in range(1 if i else 30)]
     got = {r.name: r.entity for r in N.entities(spark.createDataFrame(rows, "name string")).collect()}
     assert sorted(map(sorted, groups)) == sorted(sorted(n for n in got if got[n] == e) for e in set(got.values()))
+
+
+def test_flow_whatever_the_order_of_patterns():
+    capacity = {("a",): 60.0, ("a", "b"): 90.0, ("b",): 50.0, ("b", "c"): 70.0, ("c",): 40.0}
+    args = {"a": 0.25, "b": 0.25, "c": 0.5}, {"a": 2, "b": 2, "c": 2}
+    want = X.route(capacity, *args)
+    for seed in range(20):
+        order = random.Random(seed).sample(sorted(capacity), len(capacity))
+        assert X.route({p: capacity[p] for p in order}, *args) == want
+
+
+def test_fill_within_repeats():
+    sizes, patterns, used = [900, 30, 20, 10], [("a", "b")] * 3 + [("b",)], [[0, 0], [0, 0], [0, 0], [0]]
+    assert X.fill(sizes, patterns, used, {"a": 50, "b": 95}, {"a": 1, "b": 2}) == {"a": 0, "b": 25}
+    assert used == [[0, 0], [1, 1], [1, 1], [2]]
+    assert X.fill([900], [("a",)], [[0]], {"a": 100}, {"a": 1}, 200) == {"a": 100}
+    assert X.fill([900], [("a",)], [[0]], {"a": 100}, {"a": 1}, 50) == {"a": -800}
+
+
+def test_large_documents_and_shared_ones_in_mixture(spark):
+    """A document larger than its source's quota neither takes the place of others nor leaves a gap."""
+    rng = random.Random(5)
+    of = {"a": ["a"], "b": ["b"], "c": ["c"], "ab": ["a", "b"], "bc": ["b", "c"]}
+    docs = [(i, of[rng.choice(sorted(of))], rng.randint(5, 60)) for i in range(600)] + [(1000 + i, [s], 6000) for i, s in enumerate("abc")]
+    counts = spark.createDataFrame(docs, "doc_id bigint, sources array<string>, n_tokens bigint").cache()
+    weights = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    size = {d[0]: d for d in docs}
+    for seed, per_bucket in ((0, 20), (1, 20), (2, 5000)):
+        mixed = X.mixture(counts, weights, seed, per_bucket).collect()
+        total = sum(r.n_tokens * r.copies for r in mixed)
+        off = {s: abs(sum(r.n_tokens * r.copies for r in mixed if r.source == s) - w * total) for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2))}
+        assert max(off.values()) <= 60 and total > 20_000, (seed, per_bucket, off, total)
+        assert len({(r.doc_id, r.source) for r in mixed}) == len(mixed)
+        assert all(r.source in size[r.doc_id][1] and r.n_tokens == size[r.doc_id][2] and r.copies <= {"a": 2, "b": 2, "c": 1}[r.source] for r in mixed)
+        copies = Counter()
+        for r in mixed:
+            copies[r.doc_id] += r.copies
+        assert all(n <= max({"a": 2, "b": 2, "c": 1}[s] for s in size[i][1]) for i, n in copies.items())
+    even = spark.createDataFrame([(i, ["ab"[i % 2]], 10) for i in range(40)], "doc_id bigint, sources array<string>, n_tokens bigint")
+    got = X.mixture(even, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], weights.schema)).collect()
+    assert sorted((r.doc_id, r.copies) for r in got) == [(i, 1) for i in range(40)]
